@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import packing, quality, simhash
+from ledgerloom.llm import packing, passages, quality, simhash
 from ledgerloom.llm.common import table
 
 
@@ -23,10 +23,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(table(spark, sf_dir, "documents"), width=100)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
+    "op4_passages": op4_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {}
