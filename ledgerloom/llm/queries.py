@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import packing, passages, quality, simhash
+from ledgerloom.llm import chat, licenses, packing, passages, quality, simhash, urls, warc
 from ledgerloom.llm.common import table
 
 
@@ -27,11 +27,33 @@ def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.without_repeats(table(spark, sf_dir, "documents"), width=100)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_pages(spark, sf_dir)
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.formatted(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_passages": op4_passages,
+    "op5_warc": op5_warc,
+    "op7_urls": op7_urls,
+    "op8_chat": op8_chat,
+    "op9_licenses": op9_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_urls": urls.ORACLE,
+}
