@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, licenses, packing, passages, quality, simhash, urls, warc
+from ledgerloom.llm import chat, decontam, html, licenses, packing, passages, quality, simhash, urls, warc
 from ledgerloom.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(spark, sf_dir)
 
@@ -43,15 +47,21 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_passages": op4_passages,
     "op5_warc": op5_warc,
+    "op6_decontam": op6_decontam,
     "op7_urls": op7_urls,
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {
