@@ -17,6 +17,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import written
+
 #: Notices by SPDX identifier. The parameter `known` takes others, and full texts.
 KNOWN = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -34,23 +36,24 @@ SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("licences", "lic
 MOST_IN_EXPRESSION = 1000
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines, each run of anything but letters and digits one space."""
+def canonical_lines(text: Column) -> Column:
+    """The lines in lower case, without copyright lines, each run of anything but letters and digits one space."""
     out = F.regexp_replace(F.lower(text), r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$", " ")
     # Two spaces between words while spellings are replaced, so that each word has its own on both sides.
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
+    out = F.concat(F.lit(" "), F.replace(F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for other, own in SPELLINGS:
         out = F.replace(out, F.lit(f" {other} "), F.lit(f" {own} "))
-    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+    return F.split(F.replace(out, F.lit("  "), F.lit(" ")), "\n")
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+def digest_of(lines: Column) -> Column:
+    """Of a whole text, from its canonical lines."""
+    return F.sha2(F.trim(F.replace(F.replace(F.array_join(lines, " "), F.lit("  "), F.lit(" ")), F.lit("  "), F.lit(" "))), 256)
 
 
 def known_digests(spark, known: Mapping[str, str]) -> DataFrame:
     rows = spark.createDataFrame(sorted(known.items()), "license string, text string")
-    return rows.select("license", digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    return rows.select("license", digest_of(F.filter(F.transform(canonical_lines(F.col("text")), lambda x: F.trim(x)), lambda x: x != "")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: Mapping[str, str] = KNOWN) -> DataFrame:
@@ -60,17 +63,23 @@ def scan(docs: DataFrame, known: Mapping[str, str] = KNOWN) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     names = known_digests(spark, known)
     pairs = names.collect()  # as many as the parameter has
-    lines = F.split(text, "\n")
+    lines = F.filter(F.transform(canonical_lines(text), lambda x: F.trim(x)), lambda x: x != "")
     if len(pairs) <= MOST_IN_EXPRESSION:
+
         def name_of(d: Column) -> Column:
             out = F.lit(None).cast("string")
             for r in pairs:
                 out = F.when(d == r["digest"], F.lit(r["license"])).otherwise(out)
             return out
 
-        found = F.array_sort(F.array_distinct(F.array_compact(F.transform(lines, lambda x: name_of(digest(x))))))
-        marked = docs.select("doc_id", digest(text).alias("digest"), F.array_join(found, ",").alias("notices"))
+        def both(own: Column) -> Column:
+            found = F.transform(own, lambda x: F.transform(F.array(F.sha2(x, 256)), name_of)[0])
+            return F.struct(digest_of(own).alias("digest"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",").alias("notices"))
+
+        marked = docs.select("doc_id", F.get(F.transform(F.array(lines), both), F.lit(0)).alias("m")).select("doc_id", "m.digest", "m.notices")
     else:
-        exploded = docs.select("doc_id", F.explode(F.transform(lines, digest)).alias("digest")).join(names, "digest").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-        marked = docs.select("doc_id", digest(text).alias("digest")).join(exploded, "doc_id", "left").fillna("", ["notices"])
+        rows = written(docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), lines.alias("_lines")), "lines")
+        found = rows.select("_row", F.explode(F.transform("_lines", lambda x: F.sha2(x, 256))).alias("digest")).join(names, "digest")
+        found = found.groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+        marked = rows.select("_row", "doc_id", digest_of(F.col("_lines")).alias("digest")).join(found, "_row", "left").fillna("", ["notices"])
     return marked.join(F.broadcast(names), "digest", "left").select("doc_id", "digest", "license", "notices")
