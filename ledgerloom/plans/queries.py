@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money, text
-from ledgerloom.operators import breakdown, classify, filters, reconcile, summary, unify
+from ledgerloom.operators import breakdown, classify, filters, reconcile, statements, summary, unify
 from ledgerloom.plans import standins
 from ledgerloom.plans import taxonomy as t
 from ledgerloom.plans.standins import oracle
+from ledgerloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -433,3 +434,61 @@ def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank, ledger = standins.sides(spark, sf_dir)
     rows = reconcile.items(bank, ledger, reconcile.matched(bank, ledger))
     return reconcile.balance(rows, F.lit("1000000.00").cast("decimal(18,2)"), F.lit("999000.00").cast("decimal(18,2)"))
+
+
+# --- statement lines -------------------------------------------------------------------------------
+
+
+#: Added to balances before they are printed: a minus behind an amount is read as that amount's own.
+SHIFT = 90_000_000
+
+
+def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standins.movements(spark, sf_dir).withColumn("balance", (F.col("balance") + SHIFT).cast("decimal(18,2)"))
+
+
+def rendered_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each account's movements printed as a statement with debit, credit and balance columns."""
+    own = shifted(spark, sf_dir)
+    blank = F.lit("")
+    line = F.concat(
+        F.date_format("date", "dd/MM/yyyy"), F.lit("  "), F.rpad("description", 45, " "),
+        F.lpad(F.when(F.col("amount") < 0, money.format_amount(-F.col("amount"))).otherwise(blank), 18, " "),
+        F.lpad(F.when(F.col("amount") >= 0, money.format_amount(F.col("amount"))).otherwise(blank), 18, " "),
+        F.lpad(money.format_amount(F.col("balance")), 20, " "),
+    )
+    rows = own.groupBy("account").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", "mov_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("rows"))
+    title = f"{'Fecha':<12}{'Descripcion':<45}{'Debito':>18}{'Credito':>18}{'Saldo':>20}"
+    page = F.concat(F.lit("Banco de Bogota\nCuenta Numero: "), F.lpad("account", 10, "0"), F.lit(f"\n\n{title}\n"), F.col("rows"))
+    return rows.select(F.col("account").alias("doc_id"), F.col("account").cast("int").alias("doc_seq"), F.concat(F.lit("in/"), "account", F.lit(".txt")).alias("file"), F.array(page).alias("pages"))
+
+
+@query("p9_parsed_lines", oracle("SELECT account AS doc_id, 'Banco de Bogotá' AS bank, lpad(account, 10, '0') AS account, date, amount, CAST(balance + 90000000 AS DECIMAL(18,2)) AS balance FROM movements"))
+def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed and read back; the oracle is the source."""
+    return statements.parsed(rendered_statements(spark, sf_dir))[0].select("doc_id", "bank", "account", "date", "amount", "balance")
+
+
+@query("p10_parsed_statements", oracle("SELECT account AS doc_id, lpad(account, 10, '0') AS account, min(date) AS period_start, max(date) AS period_end, CAST(arg_max(balance, (date, mov_id)) + 90000000 AS DECIMAL(18,2)) AS closing, false AS reversed FROM movements GROUP BY account"))
+def parsed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.parsed(rendered_statements(spark, sf_dir))[1].select("doc_id", "account", "period_start", "period_end", "closing", "reversed")
+
+
+@query("a20_likely_year")
+def likely_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.likely_year(statements.statement_lines(statements.detect_banks(rendered_statements(spark, sf_dir))))
+
+
+@query("p3_amount_tokens", oracle(f"""SELECT mov_id, CASE WHEN balance IS NULL THEN 1 ELSE 2 END AS n, abs(amount) AS first_amount, amount < 0 AS negative FROM movements"""))
+def amount_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = shifted(spark, sf_dir)
+    line = F.concat_ws("   ", F.date_format("date", "dd/MM/yyyy"), F.lit("Compra"), money.format_amount(F.col("amount")), F.nullif(money.format_amount(F.col("balance")), F.lit("")))
+    tokens = own.select("mov_id", statements.amount_tokens(line, F.lit(False)).alias("t"))
+    return tokens.select("mov_id", F.size("t").alias("n"), F.get("t", F.lit(0))["value"].alias("first_amount"), F.get("t", F.lit(0))["negative"].alias("negative"))
+
+
+@query("s13_movement_rows", oracle("""SELECT bank, account, date, strftime(date, '%Y-%m') AS period, description, '' AS concept, '' AS party, '' AS reference, coalesce(document, '') AS document,
+  CASE WHEN amount > 0 THEN 'INGRESO' WHEN amount < 0 THEN 'EGRESO' ELSE 'NEUTRO' END AS type, CAST(greatest(amount, 0) AS DECIMAL(18,2)) AS inflow, CAST(greatest(-amount, 0) AS DECIMAL(18,2)) AS outflow,
+  amount, balance, sign_source, file FROM movements"""))
+def movement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.movement_rows(standins.movements(spark, sf_dir))
