@@ -115,6 +115,8 @@ def classified(movements: DataFrame, rules: Sequence[Rule] = (), unify: bool = T
     rule_party, rule_concept = rule_values(F.col("_key"), rules)
     named = distinct.withColumn("concept", F.coalesce(rule_concept, concept_of(F.col("_key"), F.col("_side"))))
     named = named.withColumn("party", F.coalesce(rule_party, party_of(F.col("_key"), F.col("concept")))).drop("_key")
+    # Written: the chains run once, and filters on their results aren't pushed down into copies of them.
+    named = written(named, "descriptions")
     out = keyed.join(named, keyed["description"].eqNullSafe(named["description"]) & (keyed["_side"] == named["_side"]), "left").drop(named["description"], named["_side"]).drop("_side")
     return unified_parties(out) if unify else out
 
