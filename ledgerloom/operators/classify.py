@@ -161,7 +161,8 @@ def variants(movements: DataFrame) -> DataFrame:
     """A10: party and the other spellings that were put under it."""
     distinct = movements.select("description", "concept", "party").distinct()
     raw = distinct.withColumn("raw", party_of(canon(F.col("description")), F.col("concept")))
-    other = raw.filter(~F.col("raw").isin(t.OWN_BANK, t.UNKNOWN_PARTY) & (party_key(F.col("raw")) != party_key(F.col("party"))))
+    raw = written(raw.withColumns({"_raw_key": party_key(F.col("raw")), "_own_key": party_key(F.col("party"))}), "variants")
+    other = raw.filter(~F.col("raw").isin(t.OWN_BANK, t.UNKNOWN_PARTY) & (F.col("_raw_key") != F.col("_own_key")))
     return other.groupBy("party").agg(F.array_join(F.array_sort(F.collect_set("raw")), " | ").alias("variants"))
 
 

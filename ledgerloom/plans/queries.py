@@ -448,7 +448,7 @@ def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each account's movements printed as a statement with debit, credit and balance columns."""
+    """Each account's movements printed as a statement with debit, credit and balance columns, and lines enough to show that they are aligned."""
     own = shifted(spark, sf_dir)
     blank = F.lit("")
     line = F.concat(
@@ -459,7 +459,7 @@ def rendered_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = own.groupBy("account").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", "mov_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("rows"))
     title = f"{'Fecha':<12}{'Descripcion':<45}{'Debito':>18}{'Credito':>18}{'Saldo':>20}"
-    page = F.concat(F.lit("Banco de Bogota\nCuenta Numero: "), F.lpad("account", 10, "0"), F.lit(f"\n\n{title}\n"), F.col("rows"))
+    page = F.concat(F.lit("Banco de Bogota\nCuenta Numero: "), F.lpad("account", 10, "0"), F.lit("\nResumen de movimientos     Resumen de cobros" * 3 + f"\n\n{title}\n"), F.col("rows"))
     return rows.select(F.col("account").alias("doc_id"), F.col("account").cast("int").alias("doc_seq"), F.concat(F.lit("in/"), "account", F.lit(".txt")).alias("file"), F.array(page).alias("pages"))
 
 
