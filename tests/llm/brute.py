@@ -65,6 +65,26 @@ def components(prints: dict[int, int], bits: int = 4) -> dict[int, int]:
     return {doc: find(first[fp]) for doc, fp in prints.items()}
 
 
+def shingle_sets(texts: dict[int, str | None], width: int = 5) -> dict[int, frozenset]:
+    out = {}
+    for doc, text in texts.items():
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        out[doc] = frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+    return out
+
+
+def near_copies(texts: dict[int, str | None]) -> dict[int, int]:
+    """doc -> smallest doc reachable over pairs of a Jaccard similarity of 0.8 at least."""
+    sets = shingle_sets(texts)
+    own = {d: d for d in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if own[a] != own[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((own[a], own[b]))
+                own = {d: low if c == high else c for d, c in own.items()}
+    return own
+
+
 def pieces(ids: list[int], capacity: int) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc)."""
     cuts = [0, *range(len(ids) % capacity or min(capacity, len(ids)), len(ids) + 1, capacity)]

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontam, html, licenses, packing, passages, quality, simhash, urls, warc
+from ledgerloom.llm import chat, decontam, html, licenses, nearcopies, packing, passages, quality, simhash, urls, warc
 from ledgerloom.llm.components import connected_components
 from tests.llm import brute
 
@@ -117,6 +117,35 @@ def test_near_links_against_all_pairs(spark):
     assert got == {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if (prints[i] ^ prints[j]).bit_count() <= 4}
 
 
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    data = texts()
+    for _ in range(12):  # copies with more and more edits, through 0.8 and on
+        base = [rng.choice(words) for _ in range(rng.randint(60, 300))]
+        for share in (0, 0.01, 0.02, 0.02, 0.025, 0.03, 0.05):
+            data.append((len(data), " ".join(rng.choice(words) if rng.random() < share else w for w in base)))
+    for cut in (2, 3):  # 8 of 10 shingles are enough, 7 aren't
+        ten = [rng.choice(words) for _ in range(14)]
+        data += [(len(data), " ".join(ten)), (len(data) + 1, " ".join(ten[cut:]))]
+    docs = dict(data)
+    groups = brute.near_copies(docs)
+    kept = nearcopies.representatives(documents(spark, data))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(groups.values())) and kept.columns == documents(spark, data).columns
+    prints = {d: brute.simhash(t, 5) for d, t in data}
+    assert sum(groups[d] != d and (prints[d] ^ prints[groups[d]]).bit_count() > 4 for d in docs) > 10  # what 4 bits miss
+    assert nearcopies.representatives(empty(spark)).count() == 0
+
+
+def test_near_copies_of_a_large_group(spark):
+    """Texts of one base that are similar to some of the others only."""
+    rng = random.Random(16)
+    base = [str(rng.randint(0, 999)) for _ in range(120)]
+    data = [(i, " ".join(str(rng.randint(0, 999)) if rng.random() < 0.035 else w for w in base)) for i in range(200)]
+    kept = nearcopies.representatives(documents(spark, data))
+    assert {r["doc_id"] for r in kept.collect()} == set(brute.near_copies(dict(data)).values())
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, 50), (50, 70), (7, 7), (200, 201), (201, 200)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}
