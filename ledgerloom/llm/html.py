@@ -38,6 +38,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split())
 CLOSES_OWN = frozenset("li dt dd tr td th option".split())
 ENDS_ITEM = frozenset("ul ol dl table".split())
+#: The elements of a head; any other, and text, ends a head that isn't closed.
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 
 BOILER_TAGS = frozenset("nav aside footer header form menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -57,9 +59,20 @@ class Page:
 
     def read(self, html: str) -> None:
         stack, at, skipping, links = [0], 0, 0, 0
+
+        def close(depth: int) -> None:
+            """Ends the elements of the stack from depth on."""
+            nonlocal skipping, links
+            for e in stack[depth:]:
+                skipping -= self.tags[e] in SKIPPED
+                links -= self.tags[e] == "a"
+            del stack[depth:]
+
         while True:
             m = TOKEN.search(html, at)
             text = html[at : m.start()] if m else html[at:]
+            if self.tags[stack[-1]] == "head" and text.strip():
+                close(len(stack) - 1)
             if text and not skipping:
                 decoded = unescape(text)
                 self.texts.append((stack[-1], decoded))
@@ -80,25 +93,20 @@ class Page:
                 for depth in range(len(stack) - 1, 0, -1):
                     own = self.tags[stack[depth]]
                     if own == tag:
-                        for e in stack[depth:]:
-                            skipping -= self.tags[e] in SKIPPED
-                            links -= self.tags[e] == "a"
-                        del stack[depth:]
+                        close(depth)
                         break
                 continue
+            if self.tags[stack[-1]] == "head" and tag not in HEAD_TAGS:
+                close(len(stack) - 1)
             if tag in VOID:
                 continue
             if tag in CLOSES_P and "p" in (open_tags := [self.tags[e] for e in stack]):
-                depth = len(open_tags) - 1 - open_tags[::-1].index("p")
-                for e in stack[depth:]:
-                    skipping -= self.tags[e] in SKIPPED
-                    links -= self.tags[e] == "a"
-                del stack[depth:]
+                close(len(open_tags) - 1 - open_tags[::-1].index("p"))
             if tag in CLOSES_OWN:
                 for depth in range(len(stack) - 1, 0, -1):
                     own = self.tags[stack[depth]]
                     if own == tag or (tag, own) in (("dt", "dd"), ("dd", "dt"), ("td", "th"), ("th", "td")):
-                        del stack[depth:]
+                        close(depth)
                         break
                     if own in ENDS_ITEM:
                         break

@@ -329,3 +329,19 @@ def test_html_held_out(spark):
     model = html.trained(train)
     page = html.Page("<body><nav><a>x</a></nav><div class=post><p>One long paragraph of the text.<p>Two</div><div class=ad>Buy</div>")
     assert [t for t, o in zip(page.tags, model.marginals(page)) if o > 0] == ["div", "p", "p"]
+
+
+def test_html_implied_ends():
+    """Elements that end without an end tag hide nothing after them and don't count as links."""
+    def seen(page):
+        return " ".join("".join(t[1] if t else " " for t in page.texts).split())
+
+    for start in ("<body><p>", "<p>", "<img>", ""):
+        assert seen(html.Page("<html><head><title>t</title>" + start + "text <b>goes</b> on")) == "text goes on"
+    assert seen(html.Page("<head><meta x><template><p>no</p></template><style>p</style></head><p>yes")) == "yes"
+    assert seen(html.Page("<p>a</p><select><option>A<option>B</select><p>b</p>")) == "a b"
+    page = html.Page("<ul><li><a href=/x>link<li>plain</ul>after")
+    assert page.linked[page.tags.index("li")] == 0 and sum(page.linked) == len("link")
+    model = html.Model({})
+    assert html.main_text("<html><head><title>t</title><body><article><p>text", model) == "text"
+    assert html.main_text("<article><p>a</p><select><option>A<option>B</select><p>b</p></article>", model) == "a\nb"
