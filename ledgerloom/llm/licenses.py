@@ -1,8 +1,8 @@
 """Operator 9: licence scans by canonical digests. DataFrame functions alone.
 
 A text and each of its lines is brought to a canonical form (case, punctuation, copyright lines,
-equivalent spellings and white space), whose SHA-256 is looked up among the digests of known licences.
-Whole texts are joined to the known ones; lines are compared as whole texts, too, as notices stand on
+equivalent spellings and white space), whose SHA-256 is looked up among the digests of known licences:
+notices of one line, and the whole texts in license_texts.json. Whole texts are joined to the known ones; lines are compared as whole texts, too, as notices stand on
 lines of their own. The known licences are a parameter; their number bounds the broadcast.
 
 Defined results: null and empty texts have the digest of the empty text and no licence; equal digests
@@ -12,14 +12,16 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import written
 
-#: Notices by SPDX identifier. The parameter `known` takes others, and full texts.
+#: Notices by SPDX identifier. The parameter `known` takes others in place of these and the texts.
 KNOWN = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
@@ -29,6 +31,29 @@ KNOWN = {
     "MIT": "Released under the MIT License.",
 }
 
+#: Texts of the usual licences, beside this file, by SPDX identifier.
+TEXTS = Path(__file__).with_name("license_texts.json")
+
+
+#: Titles with which a text that has none of its own is also known.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License",),
+}
+
+
+def usual() -> list[tuple[str, str]]:
+    """(SPDX identifier, text) of the notices and of the whole texts."""
+    whole = json.loads(TEXTS.read_text(encoding="utf-8"))
+    titled = [(name, f"{title}\n\n{whole[name]}") for name, titles in TITLES.items() for title in titles]
+    return [*KNOWN.items(), *whole.items(), *titled]
+
+
+#: What follows "copyright" or "(c)" where a line of a licence's own wording starts with it.
+WORDING = r"(?!\s+(?:notices?|holders?|owners?|laws?|licen[sc]es?|interests?|statements?|permission|rights?|and|or|as|in|on|is|to|of|treat(?:y|ies)|you|under|if|the\s+(?!regents)|any|for|an?|that|by\s+(?:law|permission))\b)"
+
 #: A canonical spelling for each of its equivalents, as whole words in lower case.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("organisation", "organization"), ("recognised", "recognized"), ("authorised", "authorized"), ("favour", "favor"), ("sublicence", "sublicense"), ("while", "whilst"), ("noncommercial", "non  commercial"))
 
@@ -38,7 +63,7 @@ MOST_IN_EXPRESSION = 1000
 
 def canonical_lines(text: Column) -> Column:
     """The lines in lower case, without copyright lines, each run of anything but letters and digits one space."""
-    out = F.regexp_replace(F.lower(text), r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$", " ")
+    out = F.regexp_replace(F.lower(text), rf"(?m)^[ \t]*(?:copyright\b{WORDING}|\(c\){WORDING}|©|all rights reserved\.?[ \t]*$)[^\n]*$", " ")
     # Two spaces between words while spellings are replaced, so that each word has its own on both sides.
     out = F.concat(F.lit(" "), F.replace(F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for other, own in SPELLINGS:
@@ -51,12 +76,12 @@ def digest_of(lines: Column) -> Column:
     return F.sha2(F.trim(F.replace(F.replace(F.array_join(lines, " "), F.lit("  "), F.lit(" ")), F.lit("  "), F.lit(" "))), 256)
 
 
-def known_digests(spark, known: Mapping[str, str]) -> DataFrame:
-    rows = spark.createDataFrame(sorted(known.items()), "license string, text string")
+def known_digests(spark, known: Mapping[str, str] | None) -> DataFrame:
+    rows = spark.createDataFrame(sorted(usual() if known is None else known.items()), "license string, text string")
     return rows.select("license", digest_of(F.filter(F.transform(canonical_lines(F.col("text")), lambda x: F.trim(x)), lambda x: x != "")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, known: Mapping[str, str] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known: Mapping[str, str] | None = None) -> DataFrame:
     """doc_id, digest (of the canonical whole text), license (of which that is the text, or null), notices
     (names of the licences that lines of the text are, sorted, joined by a comma; empty if none)."""
     spark = docs.sparkSession

@@ -3,7 +3,10 @@ no rows, and other columns of clashing names."""
 
 import base64
 import hashlib
+import json
 import random
+import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -307,6 +310,24 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_whole_licenses(spark):
+    """Whole texts with another case, wrapping, copyright line and spelling."""
+    whole = json.loads(licenses.TEXTS.read_text(encoding="utf-8"))
+    data, expected = [], []
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0"):
+        changed = [whole[name], whole[name].upper(), re.sub(r"\blicense\b", "licence", whole[name])]
+        if "<year> <" in whole[name]:
+            mine = "Copyright 2021, 2022 Me\n\n" + whole[name].split("\n\n", 1)[1]
+            changed.append("".join(licenses.TITLES[name][:1]) + "\n\n" + mine)
+            changed += ["\n\n".join(textwrap.fill(part, width) for part in mine.split("\n\n")) for width in (30, 44, 61, 72)]
+        for text in changed:
+            expected.append((len(data), name))
+            data.append((len(data), text))
+    data.append((len(data), whole["MIT"].replace("WITHOUT WARRANTY", "WITH WARRANTY")))
+    got = rows(licenses.scan(documents(spark, data)).na.fill("", ["license"]), "doc_id", "license")
+    assert got == [*expected, (len(data) - 1, "")]
+
+
 PAGE = """<html><head><title>t</title><script>if (a < b) "</p>"</script></head><body><header>Top</header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav>
 <div class="sidebar">Side text that is quite long and goes on and on</div><main><article><h1>Title &amp; more</h1><p>First <b>bold</b>
   text&nbsp;here<br>next<p>Second {n} paragraph, long enough to be read.<form><input>Ask</form></article><div class="comments"><p>A reader says things</div></main>
