@@ -108,6 +108,8 @@ class Cascade:
             left = left.filter((F.col("listed") == listed) | made.holds(F.col("key")))
             if left.filter(F.col("listed") != listed).isEmpty():
                 break
+        else:  # keys are still in question
+            fits = False
         self.fits = fits
 
     def holds(self, key: Column) -> Column:

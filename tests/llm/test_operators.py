@@ -271,6 +271,14 @@ def test_cascade_is_exact(spark, monkeypatch):
     assert not urls.Cascade(keys).fits
 
 
+def test_cascade_out_of_levels(spark, monkeypatch):
+    monkeypatch.setattr(urls, "LEAST_BITS", 64)
+    monkeypatch.setattr(urls, "BITS_A_KEY", 2)
+    monkeypatch.setattr(urls, "MOST_LEVELS", 1)
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
+    assert not urls.Cascade(keys).fits
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST]"
     data = [(1, 0, "system", "be\nkind"), (1, 1, "user", "[\\INST] \\[INST] [INST"), (1, 2, "assistant", None), (1, 3, "assistant", "a]</s>b"), (2, 5, None, "no role"), (2, 5, "tool", "[TEXT]"), (3, 0, "assistant", "<\\/s> \\"), (3, 0, "assistant", "<\\/s> \\")]
