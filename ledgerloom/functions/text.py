@@ -33,13 +33,17 @@ SINGLE, LONGER = _foldings()
 
 
 def strip_accents(text: Column) -> Column:
-    """Compatibility forms and letters with marks become plain letters. Null stays null."""
-    out = F.translate(text, "".join(SINGLE), "".join(SINGLE.values()))
-    rare = "[" + "".join(LONGER) + r"\p{M}]"
-    full = F.regexp_replace(out, r"\p{M}", "")
-    for own, plain in LONGER.items():
-        full = F.replace(full, F.lit(own), F.lit(plain))
-    return F.when(text.rlike(rare), full).otherwise(out)
+    """Compatibility forms and letters with marks become plain letters. Null stays null.
+
+    Most texts are ASCII and stay as they are; the few characters that become several letters, and marks
+    of their own, are looked up in one pass over the characters.
+    """
+    short = F.translate(text, "".join(SINGLE), "".join(SINGLE.values()))
+    table = F.create_map(*[F.lit(x) for pair in LONGER.items() for x in pair])
+    bare = F.regexp_extract_all(F.regexp_replace(short, r"\p{M}", ""), F.lit("(?s)."), F.lit(0))
+    full = F.array_join(F.transform(bare, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    rare = r"[[^\x00-\x7F]&&[" + "".join(LONGER) + r"\p{M}]]"  # ASCII is left out first, as most characters end the test there
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.when(text.rlike(rare), full).otherwise(short)).otherwise(text)
 
 
 def canon(text: Column) -> Column:
