@@ -164,14 +164,3 @@ def variants(movements: DataFrame) -> DataFrame:
     raw = written(raw.withColumns({"_raw_key": party_key(F.col("raw")), "_own_key": party_key(F.col("party"))}), "variants")
     other = raw.filter(~F.col("raw").isin(t.OWN_BANK, t.UNKNOWN_PARTY) & (F.col("_raw_key") != F.col("_own_key")))
     return other.groupBy("party").agg(F.array_join(F.array_sort(F.collect_set("raw")), " | ").alias("variants"))
-
-
-def first_rule(distinct: DataFrame, rules: DataFrame) -> DataFrame:
-    """J10 for thousands of rules: description and its lowest matching rule_no, by a join on the pattern.
-
-    Rules are user-written and few against the movements; they are the broadcast side up to the session's threshold.
-    """
-    hit = distinct.join(rules, F.expr("regexp_like(key, concat('(?iU)', pattern))"))
-    return hit.groupBy("description").agg(F.min("rule_no").alias("rule_no"))
-
-

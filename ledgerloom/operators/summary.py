@@ -187,6 +187,7 @@ def statement_warnings(checked: DataFrame, movements: DataFrame) -> DataFrame:
         F.array(
             warn("no movements", ~some, F.lit("0")),
             warn("newest first", F.coalesce("reversed", F.lit(False)), F.lit("")) if "reversed" in checked.columns else F.lit(None),
+            warn("opening balance deduced from the first movement", F.coalesce("opening_deduced", F.lit(False)), F.lit("")) if "opening_deduced" in checked.columns else F.lit(None),
             warn("sign unknown", some & (F.col("_desconocida") > 0), F.col("_desconocida")),
             warn("sign by words", some & (F.col("_palabras") > 0), F.col("_palabras")),
             warn("sign by mark, nothing to verify", some & (F.col("_marca") > 0) & F.col("difference").isNull(), F.col("_marca")),
@@ -199,10 +200,10 @@ def statement_warnings(checked: DataFrame, movements: DataFrame) -> DataFrame:
 
 
 def folded_warnings(warnings: DataFrame, statements: int) -> DataFrame:
-    """Warnings that all statements (and three at least) share, as one row with doc_seq null; the others as they are."""
-    shared = warnings.groupBy("code").agg(F.count_distinct("doc_seq").alias("times")).filter(F.col("times") >= F.lit(max(3, statements)))
-    own = warnings.join(F.broadcast(shared), "code", "left_anti").select("code", "detail", "doc_seq", F.lit(1).cast("long").alias("times"))
-    return own.unionByName(shared.select("code", F.lit("").alias("detail"), F.lit(None).cast("int").alias("doc_seq"), "times"))
+    """Warnings that all statements (and three at least) share word for word, as one row with doc_seq null; the others as they are."""
+    shared = warnings.groupBy("code", "detail").agg(F.count_distinct("doc_seq").alias("times")).filter(F.col("times") >= F.lit(max(3, statements)))
+    own = warnings.join(shared, ["code", "detail"], "left_anti").select("code", "detail", "doc_seq", F.lit(1).cast("long").alias("times"))
+    return own.unionByName(shared.select("code", "detail", F.lit(None).cast("int").alias("doc_seq"), "times"))
 
 
 def verdict(monthly: DataFrame, checked: DataFrame | None = None) -> DataFrame:

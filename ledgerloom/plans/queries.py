@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money, text
 from ledgerloom.operators import breakdown, classify, filters, reconcile, statements, summary, unify
-from ledgerloom.plans import standins
+from ledgerloom.plans import printed, standins
 from ledgerloom.plans import taxonomy as t
 from ledgerloom.plans.standins import oracle
 from ledgerloom.sources import files
@@ -66,6 +66,9 @@ checked AS (
 """
 
 
+MONTH_LABEL = "list_extract(['Enero', 'Febrero', 'Marzo', 'Abril', 'Mayo', 'Junio', 'Julio', 'Agosto', 'Septiembre', 'Octubre', 'Noviembre', 'Diciembre'], CAST(substr(month, 6, 2) AS INT)) || ' ' || substr(month, 1, 4)"
+
+
 def with_monthly(sql: str) -> str:
     return oracle(MONTHLY.replace("AND rows_", "AND /* statements */ rows_") + sql)
 
@@ -125,13 +128,29 @@ def split_by_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parted.groupBy("label", dates.month_key(F.col("date")).alias("month")).agg(F.count("*").alias("n"), summary.total(F.col("amount")).alias("net"))
 
 
-@query("a11_summary_by_label", None)
+def _labelled(sql: str) -> str:
+    """The monthly summary with label as the leading key and no statements."""
+    for old, new in (("bank, account, k", "label, bank, account, k"), ("bank, account, month", "label, bank, account, month"), ("SELECT bank, account, strftime", "SELECT label, bank, account, strftime"), ("BY bank, account", "BY label, bank, account"), ("b.bank = w.bank", "b.label = w.label AND b.bank = w.bank"),
+                     ("b.bank, b.account", "b.label, b.bank, b.account"), ("n.bank, n.account", "n.label, n.bank, n.account"), ("FROM movements", "FROM parted"), ("FROM statements WHERE", "FROM (SELECT '' AS label, * FROM statements) WHERE false AND")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+PARTED = f"""AND /* statements */ parted AS (SELECT 'CONSOLIDADO' AS label, * FROM movements UNION ALL SELECT {MONTH_LABEL.replace("month", "strftime(date, '%Y-%m')")}, * FROM movements),"""
+
+
+@query("a11_summary_by_label", oracle(PARTED + _labelled(MONTHLY).lstrip().removeprefix("AND ") + """SELECT label, bank, account, month, n, inflow, outflow, net, opening, closing, reported, deduced, difference, "check", unclassified, by_words FROM checked"""))
 def summary_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q19: a summary for each label, which leads every key; parted by month, nothing is carried forward."""
     parted = summary.split_by(standins.movements(spark, sf_dir), "month")
     return summary.monthly_summary(parted, labels=["label"])
 
 
+#: What else the stand-in's statements say, by their number.
+TOLD = """CASE WHEN doc_seq % 5 = 0 THEN CAST(12345.67 AS DECIMAL(18,2)) END AS reported_in, CASE WHEN doc_seq % 10 = 3 THEN CAST(-0.01 AS DECIMAL(18,2)) END AS reported_out,
+  doc_seq % 4 = 0 AS reversed, opening IS NULL AND doc_seq % 7 = 0 AS opening_deduced"""
+
+
 def own_movements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Movements with the doc_seq of their account's statement, and the statements."""
     known = standins.statements(spark, sf_dir)
@@ -140,7 +159,8 @@ def own_movements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 def checked_statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     own, known = own_movements(spark, sf_dir)
-    return summary.statement_checks(known.withColumns({c: F.lit(None).cast("decimal(18,2)") for c in ("reported_in", "reported_out")}), own), own
+    known = spark.sql(f"SELECT *, {TOLD} FROM {{known}}", known=known)
+    return summary.statement_checks(known, own), own
 
 
 @query("a13_statement_checks", oracle(f"""AND own AS (SELECT s.doc_seq AS d, m.amount FROM movements m JOIN statements s USING (account)),
@@ -152,30 +172,42 @@ def statement_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked_statements(spark, sf_dir)[0].select("doc_seq", "n", "net", "difference", "state")
 
 
-@query("a14_statement_warnings", oracle(f"""AND own AS (SELECT s.doc_seq AS d, m.amount, m.sign_source FROM movements m JOIN statements s USING (account)),
-sums AS (SELECT d AS doc_seq, count(*) AS n, CAST(sum(amount) AS {D}) AS net, count(*) FILTER (sign_source = 'desconocida') AS u, count(*) FILTER (sign_source = 'palabras') AS w FROM own GROUP BY ALL),
-c AS (SELECT s.doc_seq, coalesce(n, 0) AS n, coalesce(u, 0) AS u, coalesce(w, 0) AS w, CAST(opening + coalesce(net, 0) - closing AS {D}) AS gap FROM statements s LEFT JOIN sums USING (doc_seq))
+WARNINGS = f"""AND /* statements */ own AS (SELECT s.doc_seq AS d, m.amount, m.sign_source FROM movements m JOIN statements s USING (account)),
+sums AS (SELECT d AS doc_seq, count(*) AS n, CAST(sum(amount) AS {D}) AS net, CAST(sum(greatest(amount, 0)) AS {D}) AS inflow, CAST(sum(greatest(-amount, 0)) AS {D}) AS outflow,
+  count(*) FILTER (sign_source = 'desconocida') AS u, count(*) FILTER (sign_source = 'palabras') AS w, count(*) FILTER (sign_source = 'marca') AS k FROM own GROUP BY ALL),
+c AS (SELECT s.*, {TOLD}, coalesce(n, 0) AS n, coalesce(u, 0) AS u, coalesce(w, 0) AS w, coalesce(k, 0) AS k, CAST(coalesce(inflow, 0) AS {D}) AS inflow, CAST(coalesce(outflow, 0) AS {D}) AS outflow,
+  CAST(opening + coalesce(net, 0) - closing AS {D}) AS gap FROM statements s LEFT JOIN sums USING (doc_seq)),
+warnings AS (
 SELECT doc_seq, 'no movements' AS code, '0' AS detail FROM c WHERE n = 0
+UNION ALL SELECT doc_seq, 'newest first', '' FROM c WHERE {{newest}}
+UNION ALL SELECT doc_seq, 'opening balance deduced from the first movement', '' FROM c WHERE opening_deduced
 UNION ALL SELECT doc_seq, 'sign unknown', CAST(u AS VARCHAR) FROM c WHERE u > 0
 UNION ALL SELECT doc_seq, 'sign by words', CAST(w AS VARCHAR) FROM c WHERE w > 0
-UNION ALL SELECT doc_seq, 'does not balance', CAST(gap AS VARCHAR) FROM c WHERE n > 0 AND abs(gap) > 0.02"""))
+UNION ALL SELECT doc_seq, 'sign by mark, nothing to verify', CAST(k AS VARCHAR) FROM c WHERE k > 0 AND gap IS NULL
+UNION ALL SELECT doc_seq, 'does not balance', CAST(gap AS VARCHAR) FROM c WHERE n > 0 AND abs(gap) > 0.02
+UNION ALL SELECT doc_seq, 'inflow differs from the printed total', CAST(inflow AS VARCHAR) FROM c WHERE n > 0 AND abs(inflow - abs(reported_in)) > 0.02
+UNION ALL SELECT doc_seq, 'outflow differs from the printed total', CAST(outflow AS VARCHAR) FROM c WHERE n > 0 AND abs(outflow - abs(reported_out)) > 0.02)
+"""
+
+
+@query("a14_statement_warnings", oracle(WARNINGS.replace("{newest}", "reversed") + "SELECT doc_seq, code, detail FROM warnings"))
 def statement_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.statement_warnings(*checked_statements(spark, sf_dir))
 
 
-@query("a15_folded_warnings", None)
+@query("a15_folded_warnings", oracle(WARNINGS.replace("{newest}", "true") + """, shared AS (SELECT code, detail, count(DISTINCT doc_seq) AS times FROM warnings GROUP BY ALL HAVING count(DISTINCT doc_seq) >= greatest(3, (SELECT count(*) FROM statements)))
+SELECT code, detail, NULL AS doc_seq, times FROM shared UNION ALL SELECT code, detail, doc_seq, 1 FROM warnings ANTI JOIN shared USING (code, detail)"""))
 def folded_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One warning is the same for all statements, the others are theirs."""
     checked, own = checked_statements(spark, sf_dir)
-    return summary.folded_warnings(summary.statement_warnings(checked, own), checked.count())
+    return summary.folded_warnings(summary.statement_warnings(checked.withColumn("reversed", F.lit(True)), own), checked.count())
 
 
-@query("a16_verdict", with_monthly("""SELECT count(*) FILTER (abs(difference) > 0.02) AS wrong_months, count(*) FILTER (difference IS NULL) AS unverified_months, CAST(0 AS BIGINT) AS incomplete,
-  CASE WHEN count(*) FILTER (abs(difference) > 0.02) > 0 THEN 'REVISAR' WHEN count(*) FILTER (difference IS NULL) > 0 THEN 'SI, CON ADVERTENCIA' ELSE 'SI' END AS verdict FROM checked"""))
+@query("a16_verdict", with_monthly(f"""SELECT wrong_months, unverified_months, incomplete, CASE WHEN wrong_months > 0 THEN 'REVISAR' WHEN unverified_months > 0 OR incomplete > 0 THEN 'SI, CON ADVERTENCIA' ELSE 'SI' END AS verdict
+  FROM (SELECT count(*) FILTER (abs(difference) > 0.02) AS wrong_months, count(*) FILTER (difference IS NULL) AS unverified_months FROM checked),
+  (SELECT count(*) FILTER (abs(opening + coalesce(net, 0) - closing) > 0.02) AS incomplete FROM statements LEFT JOIN (SELECT account, sum(amount) AS net FROM movements GROUP BY account) USING (account))"""))
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.verdict(monthly(spark, sf_dir))
-
-
-MONTH_LABEL = "list_extract(['Enero', 'Febrero', 'Marzo', 'Abril', 'Mayo', 'Junio', 'Julio', 'Agosto', 'Septiembre', 'Octubre', 'Noviembre', 'Diciembre'], CAST(substr(month, 6, 2) AS INT)) || ' ' || substr(month, 1, 4)"
+    return summary.verdict(monthly(spark, sf_dir), checked_statements(spark, sf_dir)[0])
 
 
 @query("s14_monthly_report", with_monthly(f"""SELECT month AS period, {MONTH_LABEL} AS month_name, bank, account, n, opening, inflow, outflow, net, closing, reported, difference,
@@ -412,24 +444,54 @@ def entry_without_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.join(reconcile.candidate_pairs(bank, ledger), "row", "left_anti").select("row", "amount")
 
 
-@query("j1_matched")
+#: Movements in the order of their dates take their nearest free entry: one step of the walk for each movement of an amount.
+WALK = PAIRS + """, ordered AS (SELECT mov_id, amount, row_number() OVER (PARTITION BY amount ORDER BY date, mov_id) AS k FROM bank_side SEMI JOIN pairs USING (mov_id)),
+walk AS (
+  WITH RECURSIVE step AS (
+    SELECT DISTINCT amount, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS mov_id, CAST(NULL AS BIGINT) AS row FROM ordered
+    UNION ALL
+    SELECT amount, k, CASE WHEN row IS NULL THEN used ELSE list_append(used, row) END, mov_id, row FROM (
+      SELECT s.amount, o.k, s.used, o.mov_id, (SELECT arg_min(p.row, (p.day_gap, NOT p.like_ref, p.row)) FROM pairs p WHERE p.mov_id = o.mov_id AND NOT list_contains(s.used, p.row)) AS row
+      FROM step s JOIN ordered o ON o.amount = s.amount AND o.k = s.k + 1))
+  SELECT mov_id, row FROM step WHERE row IS NOT NULL)
+"""
+ITEMS = WALK + """, items AS (
+SELECT 'CONCILIADO' AS status, m.mov_id, m.date AS bank_date, m.bank, m.description AS bank_text, m.amount AS bank_amount, l.row, l.date AS book_date, l.description AS book_text, l.reference AS book_reference, l.amount AS book_amount, CAST(abs(date_diff('day', m.date, l.date)) AS INT) AS day_gap
+FROM walk JOIN bank_side m USING (mov_id) JOIN ledger_side l USING (row)
+UNION ALL SELECT 'SOLO BANCO', mov_id, date, bank, description, amount, NULL, NULL, NULL, NULL, NULL, NULL FROM bank_side ANTI JOIN walk USING (mov_id)
+UNION ALL SELECT 'SOLO LIBROS', NULL, NULL, bank, NULL, NULL, row, date, description, reference, amount, NULL FROM ledger_side ANTI JOIN walk USING (row))
+"""
+
+
+@query("j1_matched", oracle(WALK + "SELECT mov_id, row FROM walk"))
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.matched(*standins.sides(spark, sf_dir))
 
 
-@query("j8_swapped_signs", oracle("SELECT count(*) AS movements, count(*) FILTER (EXISTS (SELECT 1 FROM ledger_side l WHERE l.amount = -m.amount)) AS turned FROM bank_side m"))
+@query("j8_swapped_signs", oracle(WALK + """SELECT *, matched < 0.5 * movements AND turned > matched AS swapped FROM (
+  SELECT (SELECT count(*) FROM bank_side) AS movements, (SELECT count(*) FROM walk) AS matched, (SELECT count(*) FROM bank_side m WHERE EXISTS (SELECT 1 FROM ledger_side l WHERE l.amount = -m.amount)) AS turned)"""))
 def swapped_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank, ledger = standins.sides(spark, sf_dir)
-    return reconcile.signs_look_swapped(bank, ledger, spark.createDataFrame([], "mov_id long, row long")).select("movements", "turned")
+    return reconcile.signs_look_swapped(bank, ledger, reconcile.matched(bank, ledger))
 
 
-@query("u3_reconciliation")
+@query("u3_reconciliation", oracle(ITEMS + "SELECT * FROM items"))
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three sections, each in the order of its dates."""
     bank, ledger = standins.sides(spark, sf_dir)
-    return reconcile.items(bank, ledger, reconcile.matched(bank, ledger))
+    return reconcile.sections(reconcile.items(bank, ledger, reconcile.matched(bank, ledger)))
+
 
+@query("f6_ledger_days", oracle("SELECT row, date, amount FROM ledger_side WHERE date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'"))
+def ledger_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the entries of the days that are reconciled."""
+    return filters.in_days(standins.sides(spark, sf_dir)[1], *dates.date_range(year=1995)).select("row", "date", "amount")
 
-@query("a17_balance")
+
+@query("a17_balance", oracle(ITEMS + f"""SELECT *, bank_reconciled - book_reconciled AS difference, abs(bank_reconciled - book_reconciled) <= 0.02 AS reconciled FROM (
+  SELECT count(*) FILTER (status = 'CONCILIADO') AS matched, count(*) FILTER (status = 'SOLO BANCO') AS bank_only, count(*) FILTER (status = 'SOLO LIBROS') AS book_only,
+    CAST(coalesce(sum(book_amount) FILTER (status = 'SOLO LIBROS'), 0) AS {D}) AS bank_adjustment, CAST(coalesce(sum(bank_amount) FILTER (status = 'SOLO BANCO'), 0) AS {D}) AS book_adjustment,
+    CAST(1000000.00 + coalesce(sum(book_amount) FILTER (status = 'SOLO LIBROS'), 0) AS {D}) AS bank_reconciled, CAST(999000.00 + coalesce(sum(bank_amount) FILTER (status = 'SOLO BANCO'), 0) AS {D}) AS book_reconciled FROM items)"""))
 def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank, ledger = standins.sides(spark, sf_dir)
     rows = reconcile.items(bank, ledger, reconcile.matched(bank, ledger))
@@ -439,49 +501,39 @@ def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- statement lines -------------------------------------------------------------------------------
 
 
-#: Added to balances before they are printed: a minus behind an amount is read as that amount's own.
-SHIFT = 90_000_000
-
-
-def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return standins.movements(spark, sf_dir).withColumn("balance", (F.col("balance") + SHIFT).cast("decimal(18,2)"))
-
-
-def rendered_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each account's movements printed as a statement with debit, credit and balance columns, and lines enough to show that they are aligned."""
-    own = shifted(spark, sf_dir)
-    blank = F.lit("")
-    line = F.concat(
-        F.date_format("date", "dd/MM/yyyy"), F.lit("  "), F.rpad("description", 45, " "),
-        F.lpad(F.when(F.col("amount") < 0, money.format_amount(-F.col("amount"))).otherwise(blank), 18, " "),
-        F.lpad(F.when(F.col("amount") >= 0, money.format_amount(F.col("amount"))).otherwise(blank), 18, " "),
-        F.lpad(money.format_amount(F.col("balance")), 20, " "),
-    )
-    rows = own.groupBy("account").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", "mov_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("rows"))
-    title = f"{'Fecha':<12}{'Descripcion':<45}{'Debito':>18}{'Credito':>18}{'Saldo':>20}"
-    page = F.concat(F.lit("Banco de Bogota\nCuenta Numero: "), F.lpad("account", 10, "0"), F.lit("\nResumen de movimientos     Resumen de cobros" * 3 + f"\n\n{title}\n"), F.col("rows"))
-    return rows.select(F.col("account").alias("doc_id"), F.col("account").cast("int").alias("doc_seq"), F.concat(F.lit("in/"), "account", F.lit(".txt")).alias("file"), F.array(page).alias("pages"))
-
-
-@query("p9_parsed_lines", oracle("SELECT account AS doc_id, 'Banco de Bogotá' AS bank, lpad(account, 10, '0') AS account, date, amount, CAST(balance + 90000000 AS DECIMAL(18,2)) AS balance FROM movements"))
+@query("p9_parsed_lines", oracle(printed.ROWS))
 def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printed and read back; the oracle is the source."""
-    return statements.parsed(rendered_statements(spark, sf_dir))[0].select("doc_id", "bank", "account", "date", "amount", "balance")
+    """Printed by four banks and read back; the oracle is the source."""
+    columns = ("doc_id", "bank", "account", "date", "description", "document", "amount", "balance", "sign_source")
+    return statements.parsed(printed.statements(spark, sf_dir))[0].select(*columns)
 
 
-@query("p10_parsed_statements", oracle("SELECT account AS doc_id, lpad(account, 10, '0') AS account, min(date) AS period_start, max(date) AS period_end, CAST(arg_max(balance, (date, mov_id)) + 90000000 AS DECIMAL(18,2)) AS closing, false AS reversed FROM movements GROUP BY account"))
+@query("p10_parsed_statements", oracle(printed.STATEMENTS))
 def parsed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements.parsed(rendered_statements(spark, sf_dir))[1].select("doc_id", "account", "period_start", "period_end", "closing", "reversed")
+    """What the statements say of themselves, or what follows from their rows."""
+    columns = ("doc_id", "bank", "account", "period_start", "period_end", "opening", "opening_deduced", "closing", "reversed")
+    return statements.parsed(printed.statements(spark, sf_dir))[1].select(*columns)
+
+
+#: Lines with years of their own and others' in them.
+YEAR_LINES = """SELECT CAST(o_custkey AS STRING) AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS line_no,
+  concat('Pago ', CAST(2000 + o_orderkey % 5 AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN ' de 2011, 2011 y 12003' ELSE '' END, CASE WHEN o_custkey % 7 = 0 THEN 'x' ELSE '' END) AS line,
+  concat('in/2001/libro 20', CAST(10 + o_custkey % 80 AS STRING), '.txt') AS file FROM orders"""
 
 
-@query("a20_likely_year")
+@query("a20_likely_year", f"""WITH lines AS ({YEAR_LINES.replace("STRING", "VARCHAR")}),
+words AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\\b(20\\d{{2}})\\b', 1)) AS year, generate_subscripts(regexp_extract_all(line, '\\b(20\\d{{2}})\\b', 1), 1) AS at_ FROM lines WHERE line_no <= 60),
+counted AS (SELECT doc_id, year, count(*) AS n, min((line_no, at_)) AS seen FROM words GROUP BY ALL),
+best AS (SELECT doc_id, arg_min(year, (-n, seen)) AS year FROM counted GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(year, regexp_extract(file, '\\b(20\\d{{2}})\\.txt', 1)) AS INT) AS doc_year FROM (SELECT DISTINCT doc_id, file FROM lines) d LEFT JOIN best USING (doc_id)""")
 def likely_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements.likely_year(statements.statement_lines(statements.detect_banks(rendered_statements(spark, sf_dir))))
+    standins.views(spark, sf_dir)
+    return statements.likely_year(spark.sql(YEAR_LINES))
 
 
 @query("p3_amount_tokens", oracle(f"""SELECT mov_id, CASE WHEN balance IS NULL THEN 1 ELSE 2 END AS n, abs(amount) AS first_amount, amount < 0 AS negative FROM movements"""))
 def amount_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = shifted(spark, sf_dir)
+    own = standins.movements(spark, sf_dir).withColumn("balance", (F.col("balance") + printed.SHIFT).cast("decimal(18,2)"))
     line = F.concat_ws("   ", F.date_format("date", "dd/MM/yyyy"), F.lit("Compra"), money.format_amount(F.col("amount")), F.nullif(money.format_amount(F.col("balance")), F.lit("")))
     tokens = own.select("mov_id", statements.amount_tokens(line, F.lit(False)).alias("t"))
     return tokens.select("mov_id", F.size("t").alias("n"), F.get("t", F.lit(0))["value"].alias("first_amount"), F.get("t", F.lit(0))["negative"].alias("negative"))

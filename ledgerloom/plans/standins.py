@@ -24,7 +24,7 @@ FROM (
          CAST(CASE WHEN o.o_orderstatus = 'F' THEN -o.o_totalprice ELSE o.o_totalprice END AS DECIMAL(18,2)) AS amount,
          CAST(c.c_acctbal AS DECIMAL(18,2)) AS start, o.o_custkey AS custkey,
          CASE WHEN o.o_orderkey % 2 = 0 THEN CAST(o.o_orderkey AS STRING) END AS document, CAST(NULL AS STRING) AS reference,
-         CASE WHEN o.o_orderkey % 13 = 0 THEN 'desconocida' WHEN o.o_orderkey % 7 = 0 THEN 'palabras' ELSE 'saldo' END AS sign_source,
+         CASE WHEN o.o_orderkey % 13 = 0 THEN 'desconocida' WHEN o.o_orderkey % 7 = 0 THEN 'palabras' WHEN o.o_orderkey % 17 = 0 THEN 'marca' ELSE 'saldo' END AS sign_source,
          CAST(o.o_orderkey % 7 AS INT) AS doc_seq, CAST(o.o_orderkey AS BIGINT) AS seq,
          concat('in/doc', CAST(o.o_orderkey % 7 AS STRING), '.txt') AS file, CAST(o.o_orderkey AS BIGINT) AS mov_id
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN part p ON p.p_partkey = o.o_orderkey % 150
@@ -33,7 +33,7 @@ FROM (
 
 #: Declared balances for some accounts without printed ones.
 STATEMENTS = """
-SELECT CAST(row_number() OVER (ORDER BY c.c_custkey) AS INT) AS doc_seq, c.c_mktsegment AS bank, CAST(c.c_custkey AS STRING) AS account,
+SELECT CAST(c.c_custkey AS INT) AS doc_seq, c.c_mktsegment AS bank, CAST(c.c_custkey AS STRING) AS account,
        s.low AS period_start, s.high AS period_end,
        CASE WHEN c.c_custkey % 2 = 0 THEN CAST(c.c_acctbal AS DECIMAL(18,2)) END AS opening,
        CASE WHEN c.c_custkey % 9 = 0 THEN CAST(CAST(c.c_acctbal AS DECIMAL(18,2)) + s.net + CASE WHEN c.c_custkey % 27 = 0 THEN 5 ELSE 0 END AS DECIMAL(18,2)) END AS closing
@@ -62,6 +62,9 @@ SELECT mov_id AS row, date_add(date, CAST(mov_id % 9 - 4 AS INT)) AS date, descr
        CASE WHEN mov_id % 3 = 0 THEN concat('CE-', CAST(mov_id AS STRING)) END AS reference,
        CASE WHEN mov_id % 4 = 0 THEN bank WHEN mov_id % 4 = 1 THEN concat(bank, ' AHORROS') END AS bank, account
 FROM movements WHERE mov_id % 5 <> 0
+UNION ALL
+SELECT -mov_id AS row, date_add(date, CAST(mov_id % 9 - 4 AS INT)) AS date, 'Cheque sin cobrar' AS description, CAST(round(amount / 1000) * 1000 + 0.5 AS DECIMAL(18,2)) AS amount, CAST(NULL AS STRING) AS reference, CAST(NULL AS STRING) AS bank, account
+FROM movements WHERE mov_id % 19 = 0
 """
 
 
