@@ -1,23 +1,30 @@
 """Operator 8: chat formatting by a template compiler.
 
-The template language has {{ expression }}, {% for x in xs %}, {% if %}, {% elif %}, {% else %} and
-{% generation %} (the loss mask), each closed by {% end... %}. Expressions are Python's, read into a
-syntax tree of which only literals, names, fields, indexes, comparisons, and/or/not, +, % and the
-conditional are let through, with | escape and the other filters; there are no calls and no access to
-anything but the template's variables. Constant parts are folded, and the tree becomes Python closures
-that write the text and note where generation begins and ends.
+The template language has {{ expression }}, {# comment #}, {% for x in xs %}, {% if %}, {% elif %}, {% else %},
+{% set name = value %} and {% generation %} (the loss mask); blocks are closed by {% end... %}, and a minus
+inside a mark takes the white space on its side. Expressions are literals, names, fields, indexes, slices,
+comparisons, `is` tests, and/or/not, arithmetic, ~, the conditional, filters after |, and a few functions
+and string methods by name; there is no access to anything but the template's variables. They are read
+into a syntax tree, constant parts are folded, and the tree becomes Python closures that write the text
+and note where generation begins and ends.
+
+A template whose loop over the messages looks at one message at a time is rendered turn by turn, so that a
+conversation may be longer than a task's memory; others have their conversation whole in one task.
 
 Defined results: null text and role are empty; turns are ordered by turn, then role and text, so
-repeated turns each count; an empty table gives an empty result; other columns are ignored. A
-conversation is rendered whole, in the memory of one task.
+repeated turns each count; rows without conv_id are one conversation; an empty table gives an empty
+result; other columns are ignored. What isn't defined in a template prints nothing and is false;
+a field of it, or a loop variable outside a loop, is an error.
 """
 
 from __future__ import annotations
 
 import ast
 import hashlib
+import io
 import operator
 import re
+import tokenize
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -52,16 +59,56 @@ class TemplateError(ValueError):
     pass
 
 
-FILTERS: dict[str, Callable] = {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower, "length": len}
+class Undefined:
+    def __bool__(self) -> bool:
+        return False
+
+    def __str__(self) -> str:
+        return ""
+
+
+UNDEFINED = Undefined()
+
+
+def on_numbers(function: Callable) -> Callable:
+    """Arithmetic that could make texts of any length is for numbers alone."""
+
+    def run(a: object, b: object) -> object:
+        if not all(isinstance(x, (int, float)) for x in (a, b)):
+            raise TemplateError("an operation on numbers has other operands")
+        return function(a, b)
+
+    return run
+
+
+def failed(text: object) -> None:
+    raise TemplateError(str(text))
+
+
+FILTERS: dict[str, Callable] = {
+    "escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower, "length": len, "string": str, "first": lambda x: x[0], "last": lambda x: x[-1],
+    "default": lambda x, other="": other if x is UNDEFINED else x, "join": lambda xs, between="": str(between).join(map(str, xs)), "replace": lambda x, a, b: x.replace(a, b),
+}
+FUNCTIONS: dict[str, Callable] = {"raise_exception": failed, "namespace": lambda **own: own, "range": range}
+METHODS = frozenset("strip lstrip rstrip upper lower startswith endswith split title".split())
+TESTS: dict[str, Callable] = {
+    "defined": lambda x: x is not UNDEFINED, "undefined": lambda x: x is UNDEFINED, "none": lambda x: x is None, "string": lambda x: isinstance(x, str), "mapping": lambda x: isinstance(x, dict),
+    "number": lambda x: isinstance(x, (int, float)), "sequence": lambda x: isinstance(x, (list, tuple, str)), "iterable": lambda x: isinstance(x, (list, tuple, str, dict)),
+    "true": lambda x: x is True, "false": lambda x: x is False, "odd": lambda x: x % 2 == 1, "even": lambda x: x % 2 == 0,
+}
+NAMED = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
 COMPARE = {ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge, ast.In: lambda a, b: a in b, ast.NotIn: lambda a, b: a not in b}
-BINARY = {ast.Add: operator.add, ast.Mod: operator.mod, ast.BitOr: None}
+BINARY = {
+    ast.Add: operator.add, ast.Sub: on_numbers(operator.sub), ast.Mult: on_numbers(operator.mul), ast.Div: on_numbers(operator.truediv), ast.FloorDiv: on_numbers(operator.floordiv),
+    ast.Mod: on_numbers(operator.mod), ast.BitAnd: lambda a, b: str(a) + str(b),
+}
 
 
 class Value:
-    """An expression: a closure over the variables, or a constant."""
+    """An expression: a closure over the variables, or a constant. uses: the variables and loop fields it looks at."""
 
-    def __init__(self, run: Callable[[dict], object] | None = None, constant: object = None):
-        self.run, self.constant = run, constant
+    def __init__(self, run: Callable[[dict], object] | None = None, constant: object = None, uses: frozenset[str] = frozenset()):
+        self.run, self.constant, self.uses = run, constant, uses
 
     @property
     def fixed(self) -> bool:
@@ -73,62 +120,121 @@ class Value:
 
 def folded(function: Callable, *parts: Value) -> Value:
     if all(p.fixed for p in parts):
-        return Value(constant=function(*[p.constant for p in parts]))
-    return Value(lambda scope: function(*[p(scope) for p in parts]))
+        try:
+            return Value(constant=function(*[p.constant for p in parts]))
+        except (TypeError, IndexError, KeyError, AttributeError) as e:
+            raise TemplateError(str(e)) from e
+    return Value(lambda scope: function(*[p(scope) for p in parts]), uses=frozenset().union(*[p.uses for p in parts]))
 
 
 def field(owner: object, name: object) -> object:
     if isinstance(owner, dict):
-        return owner.get(name)
-    if isinstance(owner, (list, tuple)) and isinstance(name, int):
-        return owner[name]
+        return owner.get(name, UNDEFINED)
+    if isinstance(owner, (list, tuple, str)) and isinstance(name, (int, slice)):
+        try:
+            return owner[name]
+        except IndexError:
+            return UNDEFINED
     raise TemplateError(f"no field {name!r}")
 
 
+#: Filters bind closer than arithmetic, and ~ less close; Python's operators that do so stand in for them.
+STAND_INS = {"|": "**", "~": "&"}
+NO_NAME = "not_defined"
+
+
 def expression(source: str) -> Value:
     try:
-        tree = ast.parse(source.strip(), mode="eval").body
-    except SyntaxError as e:
+        parts = [(t.type, t.string) for t in tokenize.generate_tokens(io.StringIO(source.strip().replace("\n", " ")).readline)]
+        if any(kind == tokenize.OP and text in STAND_INS.values() for kind, text in parts):
+            raise TemplateError(f"not allowed in a template: {source!r}")
+        changed = [(kind, STAND_INS.get(text, text) if kind == tokenize.OP else text) for kind, text in parts]
+        plain = tokenize.untokenize(changed).strip()
+        try:
+            tree = ast.parse(plain, mode="eval").body
+        except SyntaxError:
+            tree = ast.parse(f"{plain} else {NO_NAME}", mode="eval").body  # a conditional may lack its other side
+    except (SyntaxError, tokenize.TokenError) as e:
         raise TemplateError(f"not an expression: {source!r}") from e
     return compiled(tree)
 
 
+def filtered(value: Value, node: ast.expr) -> Value:
+    """value after the filter, or the chain of filters, in node."""
+    match node:
+        case ast.BinOp(left=first, op=ast.Pow(), right=rest):
+            return filtered(filtered(value, first), rest)
+        case ast.Name(id=name) if name in FILTERS:
+            return folded(FILTERS[name], value)
+        case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name in FILTERS:
+            return folded(FILTERS[name], value, *map(compiled, args))
+    raise TemplateError(f"no filter: {ast.unparse(node)}")
+
+
 def compiled(node: ast.expr) -> Value:
     match node:
-        case ast.Constant(value=str() | int() | bool() | None as value):
+        case ast.Constant(value=str() | int() | float() | bool() | None as value):
             return Value(constant=value)
+        case ast.Name(id=name) if name in NAMED:
+            return Value(constant=NAMED[name])
         case ast.Name(id=name):
-            return Value(lambda scope: scope[name])
+            return Value(lambda scope: scope.get(name, UNDEFINED), uses=frozenset({name}))
         case ast.Attribute(value=owner, attr=name) if not name.startswith("_"):
-            return folded(field, compiled(owner), Value(constant=name))
+            out = folded(field, compiled(owner), Value(constant=name))
+            return Value(out.run, out.constant, out.uses | {f"loop.{name}"}) if isinstance(owner, ast.Name) and owner.id == "loop" else out
+        case ast.Subscript(value=owner, slice=ast.Slice(lower=low, upper=high, step=step)):
+            return folded(lambda x, a, b, c: field(x, slice(a, b, c)), compiled(owner), *[compiled(x) if x else Value() for x in (low, high, step)])
         case ast.Subscript(value=owner, slice=key):
             return folded(field, compiled(owner), compiled(key))
-        case ast.BinOp(left=left, op=ast.BitOr(), right=ast.Name(id=name)) if name in FILTERS:
-            return folded(FILTERS[name], compiled(left))
-        case ast.BinOp(left=left, op=op, right=right) if BINARY.get(type(op)):
+        case ast.List(elts=elts) | ast.Tuple(elts=elts):
+            return folded(lambda *xs: list(xs), *map(compiled, elts))
+        case ast.BinOp(left=left, op=ast.Pow(), right=right):
+            return filtered(compiled(left), right)
+        case ast.BinOp(left=left, op=op, right=right) if type(op) in BINARY:
             return folded(BINARY[type(op)], compiled(left), compiled(right))
         case ast.UnaryOp(op=ast.Not(), operand=x):
             return folded(operator.not_, compiled(x))
+        case ast.UnaryOp(op=ast.USub(), operand=x):
+            return folded(operator.neg, compiled(x))
+        case ast.Compare(left=left, ops=[ast.Is() | ast.IsNot() as op], comparators=[ast.Name(id=name)]) if name in TESTS:
+            return folded((lambda x: TESTS[name](x)) if isinstance(op, ast.Is) else (lambda x: not TESTS[name](x)), compiled(left))
+        case ast.Compare(left=left, ops=[ast.Is() | ast.IsNot() as op], comparators=[ast.Constant(value=None)]):
+            return folded((lambda x: x is None) if isinstance(op, ast.Is) else (lambda x: x is not None), compiled(left))
         case ast.Compare(left=left, ops=[op], comparators=[right]) if type(op) in COMPARE:
             return folded(COMPARE[type(op)], compiled(left), compiled(right))
         case ast.BoolOp(op=op, values=values):
-            parts = [compiled(v) for v in values]
-            every = isinstance(op, ast.And)
-            if all(p.fixed for p in parts):
-                return Value(constant=(all if every else any)(p.constant for p in parts))
-            return Value(lambda scope: (all if every else any)(p(scope) for p in parts))
+            return decided([compiled(v) for v in values], isinstance(op, ast.And))
         case ast.IfExp(test=test, body=body, orelse=other):
             t, a, b = compiled(test), compiled(body), compiled(other)
             if t.fixed:
                 return a if t.constant else b
-            return Value(lambda scope: a(scope) if t(scope) else b(scope))
+            return Value(lambda scope: a(scope) if t(scope) else b(scope), uses=t.uses | a.uses | b.uses)
+        case ast.Call(func=ast.Name(id=name), args=args, keywords=keywords) if name in FUNCTIONS and (name == "namespace" or not keywords):
+            parts, named = [compiled(a) for a in args], {k.arg: compiled(k.value) for k in keywords}
+            uses = frozenset({name}).union(*[p.uses for p in (*parts, *named.values())])
+            return Value(lambda scope: FUNCTIONS[name](*[p(scope) for p in parts], **{k: v(scope) for k, v in named.items()}), uses=uses)
+        case ast.Call(func=ast.Attribute(value=owner, attr=name), args=args, keywords=[]) if name in METHODS:
+            return folded(lambda x, *rest: getattr(x, name)(*rest) if isinstance(x, str) else failed(f"{name} is for texts"), compiled(owner), *map(compiled, args))
     raise TemplateError(f"not allowed in a template: {ast.unparse(node)}")
 
 
+def decided(parts: list[Value], every: bool) -> Value:
+    """and, or: the operand that decides."""
+
+    def run(scope: dict) -> object:
+        for p in parts[:-1]:
+            value = p(scope)
+            if bool(value) != every:
+                return value
+        return parts[-1](scope)
+
+    return Value(constant=run({})) if all(p.fixed for p in parts) else Value(run, uses=frozenset().union(*[p.uses for p in parts]))
+
+
 class Output:
-    def __init__(self) -> None:
+    def __init__(self, length: int = 0) -> None:
         self.parts: list[str] = []
-        self.length = 0
+        self.length = length
         self.spans: list[tuple[int, int]] = []
 
     def write(self, text: str) -> None:
@@ -156,11 +262,17 @@ def sequence(steps: list[Step | str]) -> Step:
     return run
 
 
+def loop_fields(i: int, n: int | None = None) -> dict:
+    return {"index0": i, "index": i + 1, "first": i == 0} | ({} if n is None else {"last": i == n - 1, "length": n})
+
+
 def looped(name: str, source: Value, body: Step) -> Step:
     def run(scope: dict, out: Output) -> None:
         items = source(scope)
+        if not isinstance(items, (list, tuple, range)):
+            raise TemplateError(f"a loop over {type(items).__name__}")
         for i, item in enumerate(items):
-            body(scope | {name: item, "loop": {"index0": i, "first": i == 0, "last": i == len(items) - 1}}, out)
+            body(scope | {name: item, "loop": loop_fields(i, len(items))}, out)
 
     return run
 
@@ -194,23 +306,69 @@ def masked(body: Step) -> Step:
     return run
 
 
-TAG = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
+def assigned(name: str, part: str | None, value: Value) -> Step:
+    def run(scope: dict, out: Output) -> None:
+        if part is None:
+            scope[name] = value(scope)
+        elif isinstance(scope.get(name), dict):
+            scope[name][part] = value(scope)
+        else:
+            raise TemplateError(f"{name} has no fields")
 
+    return run
 
-def compile_template(source: str) -> Callable[[list[dict]], tuple[str, list[tuple[int, int]]]]:
-    """messages -> text and the spans of it that were generated."""
-    tokens: list[tuple[str, str]] = []
-    at = 0
+
+TAG = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}|\{#(-?)(?:.*?)(-?)#\}", re.S)
+
+
+def tokens_of(source: str) -> list[tuple[str, str]]:
+    """(text, value or tag, its content); white space beside a mark with a minus is left out."""
+    out: list[tuple[str, str]] = []
+    at, strip = 0, False
     for m in TAG.finditer(source):
-        tokens += [("text", source[at : m.start()])] if m.start() > at else []
-        tokens.append(("value", m[1]) if m[1] is not None else ("tag", m[2].strip()))
-        at = m.end()
-    tokens += [("text", source[at:])] if at < len(source) else []
+        text = source[at : m.start()]
+        before, after = m[1] or m[4] or m[7], m[3] or m[6] or m[8]
+        text = text.lstrip() if strip else text
+        out.append(("text", text.rstrip() if before else text))
+        if m[2] is not None:
+            out.append(("value", m[2]))
+        elif m[5] is not None:
+            out.append(("tag", m[5].strip()))
+        at, strip = m.end(), bool(after)
+    out.append(("text", source[at:].lstrip() if strip else source[at:]))
+    return out
+
+
+class Template:
+    """A compiled template. by_turn: (before, loop variable, body, after) if each message is rendered by itself."""
+
+    def __init__(self, body: Step, by_turn: tuple[Step, str, Step, Step] | None):
+        self.body, self.by_turn = body, by_turn
+
+    def __call__(self, messages: list[dict]) -> tuple[str, list[tuple[int, int]]]:
+        out = Output()
+        self.body({"messages": messages}, out)
+        return "".join(out.parts), out.spans
+
+
+#: What a loop's body may look at, besides its variable, to be rendered turn by turn.
+OF_ONE_TURN = frozenset({"loop", "loop.index", "loop.index0", "loop.first"})
+
+
+def compile_template(source: str) -> Template:
+    """A function of messages that gives the text and the spans of it that were generated."""
+    tokens = tokens_of(source)
     place = 0
+    uses: set[str] = set()  # by what is being compiled
 
-    def block(*ends: str) -> tuple[Step, str]:
+    def value_of(text: str) -> Value:
+        value = expression(text)
+        uses.update(value.uses)
+        return value
+
+    def block(*ends: str) -> tuple[list[Step | str], str]:
         """Steps up to one of the tags in ends, and that tag."""
-        nonlocal place
+        nonlocal place, uses
         steps: list[Step | str] = []
         while place < len(tokens):
             kind, text = tokens[place]
@@ -219,44 +377,51 @@ def compile_template(source: str) -> Callable[[list[dict]], tuple[str, list[tupl
             if kind == "text":
                 steps.append(text)
             elif kind == "value":
-                value = expression(text)
+                value = value_of(text)
                 steps.append(str(value.constant) if value.fixed else lambda scope, out, v=value: out.write(str(v(scope))))
             elif word in ends:
-                return sequence(steps), text
+                return steps, text
             elif word == "for" and (m := re.fullmatch(r"for\s+([A-Za-z_]\w*)\s+in\s+(.+)", text, re.S)):
-                steps.append(looped(m[1], expression(m[2]), block("endfor")[0]))
+                items, outer, uses = value_of(m[2]), uses, set()
+                body = sequence(block("endfor")[0])
+                step = looped(m[1], items, body)
+                step.turns = (m[1], body) if m[2].strip() == "messages" and uses <= OF_ONE_TURN | {m[1]} else None
+                uses = outer | uses
+                steps.append(step)
             elif word == "if":
                 branches, test = [], text[2:]
                 while test is not None:
+                    condition = value_of(test)
                     body, end = block("elif", "else", "endif")
-                    branches.append((expression(test), body))
+                    branches.append((condition, sequence(body)))
                     test = end[4:] if end.startswith("elif") else None
                 if end == "else":
-                    branches.append((Value(constant=True), block("endif")[0]))
+                    branches.append((Value(constant=True), sequence(block("endif")[0])))
                 steps.append(chosen(branches))
             elif word == "generation":
-                steps.append(masked(block("endgeneration")[0]))
+                steps.append(masked(sequence(block("endgeneration")[0])))
+            elif word == "set" and (m := re.fullmatch(r"set\s+([A-Za-z_]\w*)(?:\.([A-Za-z]\w*))?\s*=\s*(.+)", text, re.S)):
+                uses.add("set")
+                steps.append(assigned(m[1], m[2], value_of(m[3])))
             else:
                 raise TemplateError(f"unexpected tag: {text!r}")
         if ends:
             raise TemplateError(f"missing {' or '.join(ends)}")
-        return sequence(steps), ""
-
-    body, _ = block()
-
-    def render(messages: list[dict]) -> tuple[str, list[tuple[int, int]]]:
-        out = Output()
-        body({"messages": messages}, out)
-        return "".join(out.parts), out.spans
+        return steps, ""
 
-    return render
+    steps, _ = block()
+    steps = [s for s in steps if s != ""]
+    loops = [i for i, s in enumerate(steps) if getattr(s, "turns", None)]
+    by_turn = None
+    if len(loops) == 1 and all(isinstance(s, str) for i, s in enumerate(steps) if i != loops[0]):
+        k = loops[0]
+        by_turn = (sequence(steps[:k]), *steps[k].turns, sequence(steps[k + 1 :]))
+    return Template(sequence(steps), by_turn)
 
 
 def read_back(text: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn of a text that TEMPLATE made."""
-    turns, at = [], len("<s>")
-    if not text.startswith("<s>"):
-        raise ValueError("no start")
+    """(role, text) of each turn of a text, or of whole turns of one, that TEMPLATE made."""
+    turns, at = [], len("<s>") * text.startswith("<s>")
     kinds = (("[INST] ", " [/INST]", "user"), ("[SYS] ", " [/SYS]", "system"), ("[ROLE] ", " [/ROLE]", None), (" ", "</s>", "assistant"))
     while at < len(text):
         for start, end, role in kinds:
@@ -274,39 +439,107 @@ def read_back(text: str) -> list[tuple[str, str]]:
     return turns
 
 
-def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """conv_id, text, loss_spans (start and end of each generated part in code points)."""
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    grouped = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    grouped = grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+PARTS = "conv_id long, part long, start long, text string, loss_spans array<struct<start: long, end: long>>"
+NOTHING = object()
+
+
+def rendered(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
+    """PARTS: the texts of conversations in pieces of a turn each, in order within a partition. start is the
+    piece's place in its conversation, loss_spans are places there, too."""
+    turns = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+    dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = compile_template(template)
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        program = compile_template(template)
+        made: list[tuple] = []
+        conv, part, length, held = NOTHING, 0, 0, []
+
+        def put(step: Step, scope: dict) -> None:
+            nonlocal part, length
+            out = Output(length)
+            step(scope, out)
+            if out.length > length:
+                made.append((conv, part, length, "".join(out.parts), [{"start": a, "end": b} for a, b in out.spans]))
+                part, length = part + 1, out.length
+
+        def ended() -> None:
+            if conv is NOTHING:
+                return
+            if program.by_turn:
+                put(program.by_turn[3], {})
+            else:
+                put(program.body, {"messages": held})
+
+        def taken() -> pa.RecordBatch:
+            columns = list(zip(*made)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["conv_id", "part", "start", "text", "loss_spans"])
+
         for batch in batches:
-            made = [render(turns.as_py()) for turns in batch.column(1)]
-            spans = [[{"start": a, "end": b} for a, b in s] for _, s in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in made], pa.string()), pa.array(spans, kind)], ["conv_id", "text", "loss_spans"])
+            for own, role, text in zip(*(batch[c].to_pylist() for c in ("conv_id", "role", "text"))):
+                if conv is NOTHING or own != conv:
+                    ended()
+                    conv, part, length, held, turn = own, 0, 0, [], 0
+                message = {"role": role, "text": text, "content": text}
+                if program.by_turn:
+                    before, name, body, _ = program.by_turn
+                    first = (lambda scope, out: (before(scope, out), body(scope, out))) if turn == 0 else body
+                    put(first, {name: message, "loop": loop_fields(turn)})
+                else:
+                    held.append(message)
+                turn += 1
+            yield taken()
+        ended()
+        yield taken()
+
+    return dealt.mapInArrow(run, PARTS)
+
 
-    return grouped.mapInArrow(run, "conv_id long, text string, loss_spans array<struct<start: long, end: long>>")
+def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
+    """conv_id, text, loss_spans (start and end of each generated part in code points), for conversations that fit a row."""
+    parts = F.array_sort(F.collect_list(F.struct("part", "text", "loss_spans")))
+    whole = rendered(conversations, template).groupBy("conv_id").agg(parts.alias("p"))
+    return whole.select("conv_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"), F.flatten(F.transform("p", lambda x: x["loss_spans"])).alias("loss_spans"))
 
 
-def digests(texts: DataFrame) -> DataFrame:
-    """What the formatted texts say when they are read back."""
+def digests(parts: DataFrame) -> DataFrame:
+    """What rendered parts, in the order in which they were made, say when they are read back."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for conv, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                turns = read_back(text)
-                loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
-                said = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((conv, len(turns), said, len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
+        rows: list[tuple] = []
+        conv, said, loss, turns, chars, length = NOTHING, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+
+        def taken() -> pa.RecordBatch:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names)
+            columns = list(zip(*rows)) or [[]] * 6
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return texts.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+        for batch in batches:
+            for own, start, text, spans in zip(*(batch[c].to_pylist() for c in ("conv_id", "start", "text", "loss_spans"))):
+                if start == 0:
+                    if conv is not NOTHING:
+                        rows.append((conv, turns, said.hexdigest(), chars, loss.hexdigest(), length))
+                    conv, said, loss, turns, chars, length = own, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+                for role, body in read_back(text):
+                    said.update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
+                    turns += 1
+                for s in spans:
+                    body = unescape(text[s["start"] - start : s["end"] - start])
+                    loss.update(body.encode("utf-8", "surrogatepass"))
+                    chars += len(body)
+                length = start + len(text)
+            yield taken()
+        if conv is not NOTHING:
+            rows.append((conv, turns, said.hexdigest(), chars, loss.hexdigest(), length))
+        yield taken()
+
+    return parts.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:

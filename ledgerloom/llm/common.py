@@ -17,14 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a local one is made only where none is set."""
+    """The cluster's shared folder, spark.checkpoint.dir. Where none is set, a local one, which only a local master's tasks all see."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it as long as df has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 #: Spark then deletes the shuffle files of a query when it has ended, so they don't add up over steps.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -30,6 +30,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 SHARED = 2
 BLOCK_CHARS = 8_000_000
 WORD = re.compile(r"\w+")
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -55,16 +56,18 @@ class Block:
         self.seeds = np.ones(len(self.known), dtype=bool)
 
     def grams(self, words: np.ndarray) -> np.ndarray:
-        """A number for each NGRAM words, -1 where one of them is in no item."""
+        """A hash for each NGRAM words, never negative, and -1 where one of them is in no item. n-grams that
+        share a hash by chance only start an alignment in vain."""
         n = len(words) - NGRAM + 1
         if n <= 0:
             return np.empty(0, dtype=np.int64)
-        base, out, known = len(self.number) + 1, np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+        out, known = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
         for j in range(NGRAM):
             part = words[j : j + n]
-            out = out * base + part
+            out = (out ^ part.astype(np.uint64)) * ODD
+            out ^= out >> np.uint64(29)
             known &= part > 0
-        return np.where(known, out, -1)
+        return np.where(known, (out >> np.uint64(1)).astype(np.int64), -1)
 
     def numbers(self, text: str | None) -> np.ndarray:
         get = self.number.get

@@ -1,9 +1,10 @@
 """Operator 9: licence scans by canonical digests. DataFrame functions alone.
 
 A text and each of its lines is brought to a canonical form (case, punctuation, copyright lines,
-equivalent spellings and white space), whose SHA-256 is looked up among the digests of known licences:
-notices of one line, and the whole texts in license_texts.json. Whole texts are joined to the known ones; lines are compared as whole texts, too, as notices stand on
-lines of their own. The known licences are a parameter; their number bounds the broadcast.
+equivalent spellings and white space), and the SHA-256 of all of them are hash-joined to the digests of
+known licences: whole texts, in license_texts.json, and notices of one line. A licence is known by any of
+its digests; whole texts and lines take the same way, as notices stand on lines of their own. What is
+joined back to the documents is only what was found.
 
 Defined results: null and empty texts have the digest of the empty text and no licence; equal digests
 of two known names give the first name; repeated rows are judged alike; an empty table gives an empty
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from hashlib import sha256
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -51,60 +53,97 @@ def usual() -> list[tuple[str, str]]:
     return [*KNOWN.items(), *whole.items(), *titled]
 
 
-#: What follows "copyright" or "(c)" where a line of a licence's own wording starts with it.
-WORDING = r"(?!\s+(?:notices?|holders?|owners?|laws?|licen[sc]es?|interests?|statements?|permission|rights?|and|or|as|in|on|is|to|of|treat(?:y|ies)|you|under|if|the\s+(?!regents)|any|for|an?|that|by\s+(?:law|permission))\b)"
+#: Words by which a line that starts with "copyright" or "(c)" is known for a licence's own wording.
+WORDING = "notices?|holders?|owners?|laws?|licen[sc]es?|interests?|statements?|permission|rights?|and|or|as|in|on|is|to|of|treat(?:y|ies)|you|under|if|any|for|an?|that|by[ \\t]+(?:law|permission)|the"
+MARK = r"^[ \t]*(?:copyright|\(c\)|©)"
+#: Where the words don't count: a mark of its own, and the name of a university.
+NAMED = r"^[ \t]*(?:©|(?:copyright|\(c\))[ \t]+the[ \t]+regents\b)"
+RESERVED = r"^[ \t]*all rights reserved\.?[ \t]*$"
+
 
 #: A canonical spelling for each of its equivalents, as whole words in lower case.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("organisation", "organization"), ("recognised", "recognized"), ("authorised", "authorized"), ("favour", "favor"), ("sublicence", "sublicense"), ("while", "whilst"), ("noncommercial", "non  commercial"))
 
-#: Known licences that are compared in an expression; more are joined.
-MOST_IN_EXPRESSION = 1000
 
 
-def canonical_lines(text: Column) -> Column:
-    """The lines in lower case, without copyright lines, each run of anything but letters and digits one space."""
-    out = F.regexp_replace(F.lower(text), rf"(?m)^[ \t]*(?:copyright\b{WORDING}|\(c\){WORDING}|©|all rights reserved\.?[ \t]*$)[^\n]*$", " ")
+def is_copyright(line: Column) -> Column:
+    """A lower-case line states a copyright, or that all rights are reserved."""
+    wording = line.rlike(rf"{MARK}[ \t]+(?:{WORDING})\b") | line.rlike(rf"{MARK}[ \t]*$")
+    return line.rlike(RESERVED) | (line.rlike(MARK + r"(?![a-z])") & (~wording | line.rlike(NAMED)))
+
+
+def canonical(line: Column) -> Column:
+    """A lower-case line with each run of anything but letters and digits as one space, and one spelling of each word."""
     # Two spaces between words while spellings are replaced, so that each word has its own on both sides.
-    out = F.concat(F.lit(" "), F.replace(F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    out = F.concat(F.lit(" "), F.regexp_replace(line, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for other, own in SPELLINGS:
         out = F.replace(out, F.lit(f" {other} "), F.lit(f" {own} "))
-    return F.split(F.replace(out, F.lit("  "), F.lit(" ")), "\n")
+    return F.trim(F.replace(F.replace(out, F.lit("   "), F.lit(" ")), F.lit("  "), F.lit(" ")))
 
 
-def digest_of(lines: Column) -> Column:
-    """Of a whole text, from its canonical lines."""
-    return F.sha2(F.trim(F.replace(F.replace(F.array_join(lines, " "), F.lit("  "), F.lit(" ")), F.lit("  "), F.lit(" "))), 256)
+def canonical_lines(text: Column) -> Column:
+    lines = F.filter(F.split(F.lower(text), "\n"), lambda x: ~is_copyright(x))
+    return F.filter(F.transform(lines, canonical), lambda x: x != "")
+
+
+def whole_text(lines: Column) -> Column:
+    return F.array_join(lines, " ")
 
 
 def known_digests(spark, known: Mapping[str, str] | None) -> DataFrame:
     rows = spark.createDataFrame(sorted(usual() if known is None else known.items()), "license string, text string")
-    return rows.select("license", digest_of(F.filter(F.transform(canonical_lines(F.col("text")), lambda x: F.trim(x)), lambda x: x != "")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    named = rows.select("license", F.unhex(F.sha2(whole_text(canonical_lines(F.col("text"))), 256)).alias("key"))
+    return named.groupBy("key").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: Mapping[str, str] | None = None) -> DataFrame:
     """doc_id, digest (of the canonical whole text), license (of which that is the text, or null), notices
     (names of the licences that lines of the text are, sorted, joined by a comma; empty if none)."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    names = known_digests(spark, known)
-    pairs = names.collect()  # as many as the parameter has
-    lines = F.filter(F.transform(canonical_lines(text), lambda x: F.trim(x)), lambda x: x != "")
-    if len(pairs) <= MOST_IN_EXPRESSION:
-
-        def name_of(d: Column) -> Column:
-            out = F.lit(None).cast("string")
-            for r in pairs:
-                out = F.when(d == r["digest"], F.lit(r["license"])).otherwise(out)
-            return out
-
-        def both(own: Column) -> Column:
-            found = F.transform(own, lambda x: F.transform(F.array(F.sha2(x, 256)), name_of)[0])
-            return F.struct(digest_of(own).alias("digest"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",").alias("notices"))
-
-        marked = docs.select("doc_id", F.get(F.transform(F.array(lines), both), F.lit(0)).alias("m")).select("doc_id", "m.digest", "m.notices")
-    else:
-        rows = written(docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), lines.alias("_lines")), "lines")
-        found = rows.select("_row", F.explode(F.transform("_lines", lambda x: F.sha2(x, 256))).alias("digest")).join(names, "digest")
-        found = found.groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-        marked = rows.select("_row", "doc_id", digest_of(F.col("_lines")).alias("digest")).join(found, "_row", "left").fillna("", ["notices"])
-    return marked.join(F.broadcast(names), "digest", "left").select("doc_id", "digest", "license", "notices")
+    names = known_digests(docs.sparkSession, known)
+
+    def keys(lines: Column) -> Column:
+        return F.struct(F.unhex(F.sha2(whole_text(lines), 256)).alias("whole"), F.transform(lines, lambda x: F.unhex(F.sha2(x, 256))).alias("lines"))
+
+    made = written(docs.select("doc_id", F.get(F.transform(F.array(canonical_lines(text)), keys), F.lit(0)).alias("k")).select("doc_id", "k.whole", "k.lines"), "digests")
+    # Rows of equal doc_id and text have equal results, so both together are the key by which these come back.
+    each = F.explode(F.array_append(F.transform("lines", lambda x: F.struct(x.alias("key"), F.lit(False).alias("all"))), F.struct(F.col("whole").alias("key"), F.lit(True).alias("all"))))
+    found = made.select("doc_id", "whole", each.alias("d")).select("doc_id", "whole", "d.key", "d.all").join(names, "key")
+    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole")).agg(
+        F.min(F.when(F.col("all"), F.col("license"))).alias("license"),
+        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("all"), F.col("license")))), ",").alias("notices"),
+    )
+    back = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("whole") == F.col("_whole"))
+    return made.join(found, back, "left").select("doc_id", F.lower(F.hex("whole")).alias("digest"), "license", F.coalesce("notices", F.lit("")).alias("notices"))
+
+
+def oracle() -> str:
+    """The same scan in DuckDB's SQL; of the known licences it has the digests, which Spark-free code makes here."""
+    import re
+
+    def canon(line: str) -> str:
+        out = " " + re.sub(r"[\W_]+", "  ", line) + " "
+        for other, own in SPELLINGS:
+            out = out.replace(f" {other} ", f" {own} ")
+        return " ".join(out.split())
+
+    def stated(line: str) -> bool:
+        wording = re.search(rf"{MARK}[ \t]+(?:{WORDING})\b", line) or re.search(rf"{MARK}[ \t]*$", line)
+        return bool(re.search(RESERVED, line) or (re.search(MARK + r"(?![a-z])", line) and (not wording or re.search(NAMED, line))))
+
+    digests: dict[str, str] = {}
+    for name, text in sorted(usual(), reverse=True):
+        lines = [canon(x) for x in text.lower().split("\n") if not stated(x)]
+        digests[sha256(" ".join(x for x in lines if x).encode()).hexdigest()] = name
+    known = ", ".join(f"('{d}', '{n}')" for d, n in sorted(digests.items()))
+    word = "' ' || regexp_replace(x, '[^\\pL\\pN]+', '  ', 'g') || ' '"
+    for other, own in SPELLINGS:
+        word = f"replace({word}, ' {other} ', ' {own} ')"
+    word = f"trim(regexp_replace({word}, ' +', ' ', 'g'))"
+    q = lambda pattern: f"regexp_matches(x, '{pattern}')"
+    stated_sql = f"({q(RESERVED)} OR ({q(MARK + '($|[^a-z])')} AND (NOT ({q(rf'{MARK}[ \t]+(?:{WORDING})' + chr(92) + 'b')} OR {q(MARK + '[ \\t]*$')}) OR {q(NAMED)})))"
+    return f"""WITH known(digest, license) AS (VALUES {known}),
+l AS (SELECT doc_id, row_number() OVER () AS r, list_filter(list_transform(list_filter(string_split(lower(coalesce(text, '')), chr(10)), lambda x: NOT {stated_sql}), lambda x: {word}), lambda x: x <> '') AS lines FROM documents),
+w AS (SELECT doc_id, r, lines, sha256(coalesce(array_to_string(lines, ' '), '')) AS digest FROM l),
+n AS (SELECT r, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS notices FROM (SELECT r, unnest(lines) AS x FROM w) u JOIN known k ON k.digest = sha256(u.x) GROUP BY r)
+SELECT w.doc_id, w.digest, k.license, coalesce(n.notices, '') AS notices FROM w LEFT JOIN known k USING (digest) LEFT JOIN n USING (r)"""

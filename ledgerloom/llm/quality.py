@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SPACE_CLASS, SPACES, written
+from ledgerloom.llm.common import SPACE_CLASS, SPACES, free_name, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -35,8 +35,9 @@ def let(value: Column, body) -> Column:
 def repeated_words(words: Column, n: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the text.
 
-    The windows' hashes are sorted with their positions in the low bits, neighbours of equal hash are
-    compared word by word, and the covered words are counted from the sorted positions.
+    The windows' hashes are sorted with their positions in the low bits. A window is compared word by word
+    with all others of a run of equal hashes, which are few unless they are equal windows: then the
+    neighbours decide, so the runs are looked through only where a neighbour differs.
     """
 
     def windows(mask: Column) -> Column:
@@ -45,14 +46,24 @@ def repeated_words(words: Column, n: Column) -> Column:
             lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")),
         )
 
+        def place(x: Column) -> Column:
+            return x.bitwiseAND(mask).cast("int")
+
+        def same_hash(x: Column, y: Column) -> Column:
+            return F.coalesce(x.bitwiseOR(mask) == y.bitwiseOR(mask), F.lit(False))
+
         def same(x: Column, y: Column) -> Column:
-            p, q = x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")
-            equal_hash = x.bitwiseOR(mask) == y.bitwiseOR(mask)
-            return equal_hash & (F.get(words, p) == F.get(words, q)) & (F.get(words, p + 1) == F.get(words, q + 1)) & (F.get(words, p + 2) == F.get(words, q + 2))
+            p, q = place(x), place(y)
+            return F.coalesce((F.get(words, p) == F.get(words, q)) & (F.get(words, p + 1) == F.get(words, q + 1)) & (F.get(words, p + 2) == F.get(words, q + 2)), F.lit(False))
 
         def found(s: Column) -> Column:
-            again = F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
-            return F.sort_array(F.transform(again, lambda x: x.bitwiseAND(mask)))
+            def again(x: Column, i: Column) -> Column:
+                before, after = F.get(s, i - 1), F.get(s, i + 1)
+                by_neighbours = (same_hash(x, before) & same(x, before)) | (same_hash(x, after) & same(x, after))
+                run = same_hash(x, before) | same_hash(x, after)
+                return F.when(by_neighbours, True).when(run, F.exists(s, lambda y: (x != y) & same_hash(x, y) & same(x, y))).otherwise(False)
+
+            return F.sort_array(F.transform(F.filter(s, again), lambda x: x.bitwiseAND(mask)))
 
         def covered(at: Column) -> Column:
             own = F.transform(at, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, i + 1) - x, F.lit(3).cast("long"))))
@@ -93,11 +104,11 @@ def measures(text: Column) -> Column:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouted", "n_upper", "n_odd", "n_stops")
 
 
-def with_measures(docs: DataFrame) -> DataFrame:
-    """docs with the struct column `_q` of MEASURES."""
+def with_measures(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the struct column `name` of MEASURES."""
     m = measures(F.coalesce(F.col("text").cast("string"), F.lit("")))
     flat = let(m, lambda x: F.struct(*[x["w"][k].alias(k) if k in ("n_words", "n_repeat_words", "n_shouted") else x["l"][k].alias(k) if k in ("n_lines", "n_dup_lines") else x[k].alias(k) for k in MEASURES]))
-    return docs.withColumn("_q", flat)
+    return docs.withColumn(name, flat)
 
 
 def base_failed(q: Column) -> Column:
@@ -163,34 +174,30 @@ def posterior(share: float, right: list[tuple[float, float]], votes_: tuple[int
     return 1 / (1 + math.exp(-x))
 
 
-def judged(measured: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds _base_failed, _quality (the posterior) and _kept to a materialised table with `_q`."""
-    rules = votes(F.col("_q"))
+def verdicts(measured: DataFrame, name: str, threshold: float = THRESHOLD) -> Column:
+    """A struct of base_failed, quality (the posterior) and kept for a materialised table with the measures in `name`."""
+    q = F.col(name)
+    rules = votes(q)
     # Fitted on the documents that pass the base rule, as the others are settled by it.
-    counted = measured.filter(~base_failed(F.col("_q"))).select(*[v.alias(k) for k, v in rules.items()]).groupBy(*rules).agg(F.count("*").alias("_n"))
+    counted = measured.filter(~base_failed(q)).select(*[v.alias(k) for k, v in rules.items()]).groupBy(*rules).agg(F.count("*").alias("_n"))
     patterns = {tuple(r[k] for k in rules): r["_n"] for r in counted.collect()}
     start, own = weights(*fit(patterns)) if patterns else (0.0, [(0.0, 0.0)] * len(rules))
     odds = F.lit(start)
     for vote, (good, bad) in zip(rules.values(), own):
         odds = odds + F.when(vote == 1, F.lit(good)).when(vote == 0, F.lit(bad)).otherwise(F.lit(0.0))
-    out = measured.withColumn("_base_failed", base_failed(F.col("_q"))).withColumn("_quality", 1 / (1 + F.exp(-odds)))
-    return out.withColumn("_kept", ~F.col("_base_failed") & (F.col("_quality") >= threshold))
+    likely = 1 / (1 + F.exp(-odds))
+    return F.struct(base_failed(q).alias("base_failed"), likely.alias("quality"), (~base_failed(q) & (likely >= threshold)).alias("kept"))
 
 
 def quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the measures, base_failed, quality and kept for each row of docs."""
-    measured = written(with_measures(docs.select("doc_id", "text")).select("doc_id", "_q"), "quality")
-    return judged(measured, threshold).select(
-        "doc_id",
-        *[F.col("_q")[k].alias(k) for k in MEASURES],
-        F.col("_base_failed").alias("base_failed"),
-        F.col("_quality").alias("quality"),
-        F.col("_kept").alias("kept"),
-    )
+    measured = written(with_measures(docs.select("doc_id", "text"), "_q").select("doc_id", "_q"), "quality")
+    return measured.select("doc_id", "_q.*", verdicts(measured, "_q", threshold).alias("_v")).select("doc_id", *MEASURES, "_v.*")
 
 
 def kept_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept, with their columns. They are written once with their measures, so
     that no text is judged twice or shuffled."""
-    measured = written(with_measures(docs), "quality")
-    return judged(measured, threshold).filter("_kept").select(*docs.columns)
+    name = free_name(docs, "_q")
+    measured = written(with_measures(docs, name), "quality")
+    return measured.filter(verdicts(measured, name, threshold)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])

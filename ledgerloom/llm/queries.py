@@ -40,7 +40,7 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.digests(chat.formatted(chat.with_probe(table(spark, sf_dir, "conversations"))))
+    return chat.digests(chat.rendered(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_urls": urls.ORACLE,
+    "op9_licenses": licenses.oracle(),
 }

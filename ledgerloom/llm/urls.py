@@ -5,6 +5,9 @@ for listed; the third the listed keys that the second takes for those; and so on
 As the levels are made over all keys of the corpus, the membership of each of its keys is exact, and
 the pages are judged by array look-ups in the filters' words, without a join.
 
+The filters' words travel as literals, so a list may need MOST_WORDS of them at most (about eight million
+keys); a longer one is refused, as is one whose levels don't come to an end.
+
 Defined results: a null url, and one without "://", has an empty host and path, fits no rule and is
 allowed; equal keys count once; an empty table gives an empty result; other columns are ignored.
 """
@@ -28,7 +31,7 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 HASHES = 4
 BITS_A_KEY = 16
 LEAST_BITS = 1024
-#: Words of 64 bits of all filters together that a plan carries as literals (16 MB); a longer list is joined.
+#: Words of 64 bits of all filters together that a plan carries as literals (16 MB).
 MOST_WORDS = 2_000_000
 MOST_LEVELS = 20
 
@@ -73,7 +76,7 @@ class Filter:
         self.level, self.bits = level, -(-max(LEAST_BITS, BITS_A_KEY * count) // 64) * 64
         self.words = self.bits // 64
         if self.words > MOST_WORDS:
-            return
+            raise ValueError(f"{count} keys need more than the {MOST_WORDS} words that a plan may carry")
         at = F.explode(F.array(*positions(F.col("key"), level, self.bits)))
         word = keys.select(at.alias("p")).select(F.floor(F.col("p") / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int")).alias("b"))
         own = {r["w"]: r["v"] for r in word.groupBy("w").agg(F.bit_or("b").alias("v")).collect()}
@@ -96,21 +99,17 @@ class Cascade:
 
     def __init__(self, universe: DataFrame):
         self.levels: list[Filter] = []
-        left, fits = universe, True
+        left = universe
         for level in range(MOST_LEVELS):
             listed = level % 2 == 0
-            made = Filter(left.filter(F.col("listed") == listed), level)
-            if sum(f.words for f in [*self.levels, made]) > MOST_WORDS:
-                fits = False
-                break
-            self.levels.append(made)
+            self.levels.append(Filter(left.filter(F.col("listed") == listed), level))
+            if sum(f.words for f in self.levels) > MOST_WORDS:
+                raise ValueError(f"the cascade needs more than the {MOST_WORDS} words that a plan may carry")
             # What is encoded is in the filter; of the rest only its false positives stay in question.
-            left = left.filter((F.col("listed") == listed) | made.holds(F.col("key")))
+            left = left.filter((F.col("listed") == listed) | self.levels[-1].holds(F.col("key")))
             if left.filter(F.col("listed") != listed).isEmpty():
-                break
-        else:  # keys are still in question
-            fits = False
-        self.fits = fits
+                return
+        raise RuntimeError(f"keys are still in question after {MOST_LEVELS} levels")
 
     def holds(self, key: Column) -> Column:
         answer = F.lit(len(self.levels) % 2 == 1)
@@ -128,11 +127,7 @@ def judged(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str,
     universe = written(keys.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
     cascade = Cascade(universe)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    if cascade.fits:
-        blocked = base.withColumn("blocked", F.exists(keys_of(F.col("host")), cascade.holds))
-    else:  # a list beyond MOST_WORDS: the blocked hosts are joined
-        own = hosts.select("host", F.explode(keys_of(F.col("host"))).alias("key")).join(universe.filter("listed"), "key", "left_semi")
-        blocked = base.join(own.select("host").distinct().withColumn("blocked", F.lit(True)), "host", "left")
+    blocked = base.withColumn("blocked", F.exists(keys_of(F.col("host")), cascade.holds))
     method = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
     return blocked.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
 
