@@ -1,7 +1,8 @@
 """Operator 4: removal of repeated passages by prefix-free parsing.
 
 A rolling hash over 32-byte grams triggers phrase borders: each window of `width` bytes is owned by its
-gram of smallest hash, and a phrase is a run of windows with one owner, with the bytes they cover. What
+gram of smallest hash, and a phrase is a run of windows whose owners have one hash (so a periodic text is
+one phrase), with the bytes they cover. What
 equals a window anywhere has the same owner, so the corpus is settled in two parts. The parse: of equal
 phrases all but the first in corpus order are repeats, and their bytes are never looked at again. The
 dictionary: distinct phrases that share an owner are sorted by suffix (prefix doubling to exactly
@@ -57,9 +58,10 @@ def gram_hashes(data: bytes) -> np.ndarray:
     return hashes
 
 
-def phrases_of(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each phrase its owner's hash, first window and number of windows."""
-    owners, firsts, counts = [], [], []
+def phrases_of(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each phrase its owner's hash, first window and number of windows, and whether it has owners in several
+    places; others can't hold a window twice."""
+    owners, firsts, counts, several = [], [], [], []
     windows = len(data) - width + 1
     for at in range(0, windows, SEGMENT):
         hashes = gram_hashes(data[at : min(windows, at + SEGMENT) + width - 1])
@@ -71,15 +73,17 @@ def phrases_of(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         if reach > span:
             least = np.minimum(least[: span - reach], least[reach - span :])
         place = (least & POSITION).astype(np.int64)
-        first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
-        owners.append(hashes[place[first]])
+        owner = hashes[place]
+        first = np.concatenate(([0], np.flatnonzero(owner[1:] != owner[:-1]) + 1))
+        owners.append(owner[first])
         firsts.append(first + at)
-        counts.append(np.diff(np.append(first, len(place))))
-    return np.concatenate(owners), np.concatenate(firsts), np.concatenate(counts)
+        counts.append(np.diff(np.append(first, len(owner))))
+        several.append(place[first] != place[first + counts[-1] - 1])
+    return np.concatenate(owners), np.concatenate(firsts), np.concatenate(counts), np.concatenate(several)
 
 
 def phrase_rows(docs: DataFrame, width: int) -> DataFrame:
-    """h, c, row, first, n: owner, content hash, document, first window and number of windows."""
+    """h, c, row, first, n, s: owner, content hash, document, first window and number of windows, owners in several places."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -89,15 +93,15 @@ def phrase_rows(docs: DataFrame, width: int) -> DataFrame:
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 if len(data) < width:
                     continue
-                h, first, n = phrases_of(data, width)
+                h, first, n, several = phrases_of(data, width)
                 view = memoryview(data)
                 c = np.array([digest(view[a : a + k + width - 1]) for a, k in zip(first.tolist(), n.tolist())], dtype=np.uint64)
-                parts.append((h.view(np.int64), c.view(np.int64), np.full(len(h), row), first, n))
-            columns = [np.concatenate(x) for x in zip(*parts)] if parts else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "c", "row", "first", "n"])
+                parts.append((h.view(np.int64), c.view(np.int64), np.full(len(h), row), first, n, several))
+            columns = [np.concatenate(x) for x in zip(*parts)] if parts else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "c", "row", "first", "n", "s"])
 
-    return docs.select("row", "text").mapInArrow(parse, "h long, c long, row long, first int, n int")
+    return docs.select("row", "text").mapInArrow(parse, "h long, c long, row long, first int, n int, s boolean")
 
 
 def suffix_classes(data: bytes, width: int) -> np.ndarray:
@@ -163,7 +167,7 @@ def dictionary_ranges(entries: DataFrame, width: int) -> DataFrame:
 
 
 def window_ranges(entries: DataFrame, width: int) -> DataFrame:
-    """row, start, end from phrases of any number for one owner: windows meet by a 128-bit key."""
+    """row, start, end from phrases of any number for one owner: windows meet by the hashes of the owner and of themselves."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,13 +198,13 @@ def ordered_rows(docs: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """row, start, end: byte ranges of docs (columns row, text) to remove; they may overlap."""
-    owners = written(phrase_rows(docs, width).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "owners")
+    owners = written(phrase_rows(docs, width).groupBy("h").agg(F.count("*").alias("n"), F.max("s").alias("s")).filter("n > 1 or s").select("h"), "owners")
     shared = written(phrase_rows(docs, width).join(owners, "h", "left_semi"), "phrases")
-    firsts = written(shared.groupBy("h", "c").agg(F.min(F.struct("row", "first", "n")).alias("at")), "firsts")
+    firsts = written(shared.groupBy("h", "c").agg(F.min(F.struct("row", "first", "n")).alias("at"), F.max("s").alias("s")), "firsts")
     parse = shared.join(firsts, ["h", "c"]).filter(F.struct("row", "first") > F.struct("at.row", "at.first"))
     parse = parse.select("row", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("n") + F.lit(width - 1)).cast("long").alias("end"))
 
-    mixed = firsts.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+    mixed = firsts.groupBy("h").agg(F.count("*").alias("k"), F.max("s").alias("_s")).filter("k > 1 or _s").drop("_s")
     wanted = firsts.join(mixed, "h").groupBy("at.row").agg(F.collect_list(F.struct("h", "k", "at.first", "at.n")).alias("parts"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
