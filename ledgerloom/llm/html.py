@@ -30,6 +30,8 @@ PRIOR = 2.0
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: An attribute by which an element isn't shown.
+HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=[\s/"'=]|$)(?!\s*=\s*["']?until-found)|aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
 #: Their insides are no text of the page.
 SKIPPED = frozenset("script style head title noscript template svg math iframe object textarea select option button canvas audio video".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
@@ -55,6 +57,8 @@ class Page:
         #: (element, text) with the text decoded; None marks a border between blocks.
         self.texts: list[tuple[int, str] | None] = []
         self.length, self.linked = [0], [0]
+        #: Elements whose insides are no text of the page.
+        self.skipped: set[int] = set()
         self.read(html)
 
     def read(self, html: str) -> None:
@@ -64,7 +68,7 @@ class Page:
             """Ends the elements of the stack from depth on."""
             nonlocal skipping, links
             for e in stack[depth:]:
-                skipping -= self.tags[e] in SKIPPED
+                skipping -= e in self.skipped
                 links -= self.tags[e] == "a"
             del stack[depth:]
 
@@ -120,7 +124,9 @@ class Page:
             self.linked.append(0)
             stack.append(element)
             links += tag == "a"
-            skipping += tag in SKIPPED
+            if tag in SKIPPED or (m[3] and HIDDEN.search(m[3])):
+                self.skipped.add(element)
+                skipping += 1
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = end.start() if end else len(html)
@@ -191,8 +197,9 @@ class Model:
             self.weights[feature] = max(-2.0, min(2.0, math.log(a / b)))
         return self.weights[feature]
 
-    def marginals(self, page: Page) -> list[float]:
-        """The log odds of content of each element, by messages up the tree and down again."""
+    def marginals(self, page: Page, whole: float = -3.0) -> list[float]:
+        """The log odds of content of each element, by messages up the tree and down again; whole are the log
+        odds that a page as a whole is its article."""
         n = len(page.tags)
         odds = [sum(map(self.weight, f)) / 2 for f in page.features()]
         passes = [self.passing(table_of(page, e)) for e in range(n)]
@@ -201,7 +208,7 @@ class Model:
             s, (p0, p1) = logistic(odds[e]), passes[e]
             up[e] = math.log((p1 * s + (1 - p1) * (1 - s)) / (p0 * s + (1 - p0) * (1 - s)))
             odds[page.parents[e]] += up[e]
-        odds[0] -= 3.0  # a page as a whole isn't its article
+        odds[0] += whole
         for e in range(1, n):
             s, (p0, p1) = logistic(odds[page.parents[e]] - up[e]), passes[e]
             odds[e] += math.log((p1 * s + p0 * (1 - s)) / ((1 - p1) * s + (1 - p0) * (1 - s)))
@@ -229,6 +236,8 @@ def main_text(html: str, model: Model) -> str:
     if len(page.tags) == 1:
         return " ".join("".join(t[1] for t in page.texts if t).split())
     kept = [o > 0 for o in model.marginals(page)]
+    if not any(kept[t[0]] and t[1].strip() for t in page.texts if t):  # no part is: then the page is, but for its boilerplate
+        kept = [o > 0 for o in model.marginals(page, 3.0)]
     blocks: list[str] = []
     parts: list[str] = []
     for t in [*page.texts, None]:
