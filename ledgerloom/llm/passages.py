@@ -33,8 +33,7 @@ WIDTH = 100
 GRAM = 32
 #: Windows that are handled at once; positions within take 24 bits.
 SEGMENT = 1 << 22
-#: An owner with more than this share of all dictionary phrases, or this many, is hot: no task sorts its phrases together.
-HOT_SHARE = 1 / 128
+#: An owner with more distinct phrases (some 3 MB) is hot: no task sorts its phrases together.
 SORTED_TOGETHER = 16_384
 #: Rows that the tasks of the suffix sort hold at once.
 SORT_ROWS = 8192
@@ -219,9 +218,8 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     entries = docs.select("row", "text").join(wanted, "row").mapInArrow(fetch, "h long, k long, row long, first int, n int, bytes binary")
     entries = written(entries, "dictionary")
-    most = min(SORTED_TOGETHER, max(64, int(HOT_SHARE * entries.count())))
-    few = dictionary_ranges(entries.filter(F.col("k") <= most), width)
-    many = window_ranges(entries.filter(F.col("k") > most), width)
+    few = dictionary_ranges(entries.filter(F.col("k") <= SORTED_TOGETHER), width)
+    many = window_ranges(entries.filter(F.col("k") > SORTED_TOGETHER), width)
     return parse.union(few).union(many)
 
 
