@@ -457,3 +457,52 @@ def test_html_implied_ends():
     model = html.Model({})
     assert html.main_text("<html><head><title>t</title><body><article><p>text", model) == "text"
     assert html.main_text("<article><p>a</p><select><option>A<option>B</select><p>b</p></article>", model) == "a\nb"
+
+
+def test_html_hidden_and_unmarked():
+    model = html.Model({})
+    hidden = "<p hidden>b</p><p style='color:red; display : none'>c</p><div aria-hidden=\"true\">e<p>f</p></div><p style=\"visibility:hidden\">g</p>"
+    assert html.main_text(f"<article><p>a</p>{hidden}<p class=hidden-note data-x=hidden>d</p></article>", model) == "a\nd"
+    assert html.main_text("<body><div>hello world</div></body>", model) == "hello world"
+    assert html.main_text("<div class='post-body'><p>Text</p></div>", model) == "Text"
+    assert html.main_text("<body><nav><a href=x>Home</a></nav><div>short <b>text</b></div><footer>foot</footer></body>", model) == "short text"
+    assert html.main_text("<nav>menu</nav>", model) == ""
+
+
+def test_html_marginals_against_enumeration():
+    """Messages up and down the tree give the marginals that the sum over all states gives."""
+    import itertools
+    import math
+
+    rng = random.Random(31)
+    for _ in range(40):
+        source, opened = "", []
+        for _ in range(rng.randint(1, 8)):
+            if opened and rng.random() < 0.4:
+                source += f"</{opened.pop()}>"
+            tag = rng.choice(["div", "section", "nav", "article"])
+            source += f"<{tag} class={rng.choice(['ad', 'post', 'x'])}>" + "word " * rng.randint(0, 30)
+            opened.append(tag)
+        page = html.Page(source)
+        counts = {("pass", html.table_of(page, e), p, s): rng.randint(0, 5) for e in range(len(page.tags)) for p in (0, 1) for s in (0, 1)}
+        counts |= {("seen", f, s): rng.randint(0, 9) for features in page.features() for f in features for s in (0, 1)}
+        model = html.Model(counts)
+        evidence = [sum(map(model.weight, f)) / 2 for f in page.features()]
+        evidence[0] -= 3.0
+        totals = [[0.0, 0.0] for _ in page.tags]
+        for states in itertools.product((0, 1), repeat=len(page.tags)):
+            weight = math.exp(sum(w for w, s in zip(evidence, states) if s))
+            for e in range(1, len(states)):
+                p = model.passing(html.table_of(page, e))[states[page.parents[e]]]
+                weight *= p if states[e] else 1 - p
+            for total, s in zip(totals, states):
+                total[s] += weight
+        assert all(abs(math.log(b / a) - got) < 1e-6 for (a, b), got in zip(totals, model.marginals(page)))
+
+
+def test_periodic_texts_are_single_phrases(spark):
+    owners, firsts, counts, several = passages.phrases_of(b"a" * 1000, 100)
+    assert (len(owners), counts.tolist(), several.tolist()) == (1, [901], [True])
+    data = [(1, "ab" * 300), (2, "xyz" * 90 + "ab" * 60), (3, "q" * 250 + prose(random.Random(3), 40) + "q" * 150), (4, "q" * 99), (5, "q" * 100)]
+    got = rows(passages.without_repeats(documents(spark, data), 100), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted((d, *v) for d, v in brute.repeated_bytes(data).items())
