@@ -5,8 +5,8 @@ vectors never exceeds their Hamming distance, so of two linked fingerprints (4 b
 of the eight parts of the vectors are equal: any four parts make a grid cell, and linked fingerprints meet
 in one. Each pair that meets is verified exactly, in the join's condition. Equal fingerprints are one row
 before any join. A segment has one bit by default, whose count is the bit itself: that vector keeps the
-whole distance, so that hardly any pair meets in vain (2 million times fewer than all pairs); segments of
-two bits make the same links from larger cells.
+whole distance, so that of 60 million chance pairs one meets; segments of two bits make the same links from
+larger cells.
 
 First each fingerprint of a cell is compared to the cell's smallest node. Only pairs of one cell in
 different components are compared after that, so a dense group doesn't make all of its pairs.
