@@ -1,14 +1,16 @@
 """Operator 6: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
-Items are read in blocks of a bounded number of characters, which each task has whole. A first pass
-counts in how many documents each word n-gram of the block occurs; of each two neighbouring n-grams of
-an item the rarer is a seed, so four unedited words in a row always hold one, and common phrases start
-nothing. A second pass joins the seeds to the texts and aligns the words around them to the item,
-locally, so edited and paraphrased copies score by what they share.
+Items and texts are read as word n-grams. A filter of bounded size, which holds the n-grams of all items,
+goes to the tasks, so that of a text only n-grams that an item may hold are kept. Their counts over all
+texts make the seeds: of each two neighbouring n-grams of an item the rarer, so four unedited words in a
+row always hold one, and common phrases start nothing. A join on the seeds pairs texts with items, and
+each pair is aligned locally around the n-grams it shares, so edited and paraphrased copies score by
+what they have in common. Neither texts nor items go through the driver.
 
 Defined results: null and empty texts and items of fewer than NGRAM words match nothing; each row of
-docs reports for itself; ties of the score go to the place that comes first; empty tables give an empty
-result; other columns are ignored or, where documents are returned, passed through.
+docs, and each row of the benchmark, reports for itself, but items without item_id or text are left out;
+ties of the score go to the place that comes first; empty tables give an empty result; other columns are
+ignored or, where documents are returned, passed through.
 """
 
 from __future__ import annotations
@@ -19,16 +21,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import free_name, written
+
 NGRAM = 3
 #: The score is that of the best local alignment over that of the whole item aligned to itself.
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: n-grams of the item that a passage must share before it is aligned.
 SHARED = 2
-BLOCK_CHARS = 8_000_000
+#: Bits of the filter for each n-gram of the items, and at most (8 MB). A full filter only lets more n-grams reach the join.
+FILTER_BITS = 64
+MOST_FILTER_BITS = 1 << 26
+#: Characters of items that stand beside a text in one row; a text with more gets more rows.
+ITEM_CHARS = 1 << 18
+#: Rows of equal texts are dealt over this many parts of the join.
+PARTS = 8
+#: Words whose hashes a task keeps.
+KEPT_WORDS = 500_000
 WORD = re.compile(r"\w+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,84 +50,101 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-class Block:
-    """Items with their words as numbers from 1 (0 is a word of no item), and where each n-gram occurs."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.number: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
-        for item, text in items:
-            words = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            if len(words) >= NGRAM:
-                self.items.append((item, np.array(words, dtype=np.int64)))
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words) in enumerate(self.items):
-            for at, gram in enumerate(self.grams(words).tolist()):
-                places[gram].append((k, at))
-        self.known = np.array(sorted(places), dtype=np.int64)
-        self.places = [places[g] for g in self.known.tolist()]
-        self.seeds = np.ones(len(self.known), dtype=bool)
-
-    def grams(self, words: np.ndarray) -> np.ndarray:
-        """A hash for each NGRAM words, never negative, and -1 where one of them is in no item. n-grams that
-        share a hash by chance only start an alignment in vain."""
-        n = len(words) - NGRAM + 1
-        if n <= 0:
-            return np.empty(0, dtype=np.int64)
-        out, known = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
-        for j in range(NGRAM):
-            part = words[j : j + n]
-            out = (out ^ part.astype(np.uint64)) * ODD
-            out ^= out >> np.uint64(29)
-            known &= part > 0
-        return np.where(known, (out >> np.uint64(1)).astype(np.int64), -1)
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        get = self.number.get
-        return np.array([get(w, 0) for w in words_of(text)], dtype=np.int64)
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The places of known n-grams in words, and which they are."""
-        grams = self.grams(words)
-        at = np.flatnonzero(grams >= 0)
-        if not len(at) or not len(self.known):
-            return at[:0], at[:0]
-        which = np.minimum(np.searchsorted(self.known, grams[at]), len(self.known) - 1)
-        found = self.known[which] == grams[at]
-        return at[found], which[found]
-
-    def keep_rare(self, counts: dict[int, int]) -> None:
-        """counts: documents by n-gram. Of neighbours the rarer stays, the first of equals."""
-        self.seeds = np.zeros(len(self.known), dtype=bool)
-        for _, words in self.items:
-            which = np.searchsorted(self.known, self.grams(words)).tolist()
-            for a, b in zip(which, which[1:] or which):
-                self.seeds[min((counts.get(a, 0), 0, a), (counts.get(b, 0), 1, b))[2]] = True
-
-    def found(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item_id, score, first word, end word) of each item with a passage of MIN_SCORE at least."""
-        words = self.numbers(text)
-        at, which = self.hits(words)
-        if not len(at) or not self.seeds[which].any():
-            return []
-        by_item: dict[int, list[tuple[int, int, int, bool]]] = defaultdict(list)
-        for place, gram in zip(at.tolist(), which.tolist()):
-            for k, own in self.places[gram]:
-                by_item[k].append((place, own, gram, bool(self.seeds[gram])))
-        out = []
-        for k, hits in by_item.items():
-            item, query = self.items[k]
-            m = len(query)
-            best = (0, 0, 0)
-            for region in regions(hits, m):
-                if not any(h[3] for h in region) or len({h[2] for h in region}) < min(SHARED, m - NGRAM + 1):
-                    continue
-                low = max(0, min(p - own for p, own, _, _ in region) - m // 2)
-                high = min(len(words), max(p - own for p, own, _, _ in region) + m + m // 2)
-                best = max(best, located(query, words[low:high], low), key=lambda b: b[0])
-            if best[0] >= MIN_SCORE * MATCH * m:
-                out.append((item, best[0] / (MATCH * m), best[1], best[2]))
-        return out
+class Hashes(dict):
+    """The hash of each word, made when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+    def of(self, text: str | None) -> np.ndarray:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        return np.array([self[w] for w in words_of(text)], dtype=np.uint64)
+
+
+def grams_of(words: np.ndarray) -> np.ndarray:
+    """A hash for each NGRAM words."""
+    n = len(words) - NGRAM + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(NGRAM):
+        out = (out ^ words[j : j + n]) * ODD
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def item_grams(items: DataFrame) -> DataFrame:
+    """item, at, gram of all n-grams of the items."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                grams = grams_of(hashes.of(text.as_py())).view(np.int64)
+                columns = [pa.array(np.full(len(grams), item), pa.int64()), pa.array(np.arange(len(grams)), pa.int32()), pa.array(grams, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["item", "at", "gram"])
+
+    return items.select("item", "text").mapInArrow(cut, "item long, at int, gram long")
+
+
+def filter_of(grams: DataFrame) -> np.ndarray:
+    """A Bloom filter of the n-grams with two slots for each, as 64-bit words: two to the power that gives FILTER_BITS
+    for each n-gram, MOST_FILTER_BITS at most, which bounds what is gathered and sent."""
+    bits = 1 << 12
+    wanted = min(MOST_FILTER_BITS, FILTER_BITS * grams.count())
+    while bits < wanted:
+        bits *= 2
+    slots = grams.select(F.explode(F.array(F.expr(f"gram & {bits - 1}L"), F.expr(f"shiftrightunsigned(gram, 32) & {bits - 1}L"))).alias("slot"))
+    words = slots.groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63L as int))")).alias("ones")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[words["word"].to_numpy()] = words["ones"].to_numpy()
+    return out.view(np.uint64)
+
+
+def may_hold(ones: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    last = np.uint64(64 * len(ones) - 1)
+
+    def set_at(slots: np.ndarray) -> np.ndarray:
+        return (ones[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
+
+    return set_at(grams & last) & set_at((grams >> np.uint64(32)) & last)
+
+
+def shared_grams(texts: DataFrame, ones: np.ndarray) -> DataFrame:
+    """key, gram: for each row of texts (key, text) its distinct n-grams that the filter lets through."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            found, owners = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+            for k, text in enumerate(batch.column(1)):
+                grams = grams_of(hashes.of(text.as_py()))
+                hit = np.unique(grams[may_hold(ones, grams)])
+                found.append(hit)
+                owners.append(np.full(len(hit), k))
+            keys = batch.column(0).take(pa.array(np.concatenate(owners), pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(found).view(np.int64), pa.int64())], ["key", "gram"])
+
+    return texts.select("key", "text").mapInArrow(probe, "key binary, gram long")
+
+
+def rare_seeds(grams: DataFrame, hits: DataFrame) -> DataFrame:
+    """item, gram: of each two neighbouring n-grams of an item that which fewer texts hold, the first of equals; a lone one is a seed."""
+    counts = hits.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    counted = grams.join(counts, "gram", "left").na.fill(0, ["n"])
+    line = Window.partitionBy("item").orderBy("at")
+    before, after = F.lag("n").over(line), F.lead("n").over(line)
+    chosen = (F.col("n") <= F.col("after")) | (F.col("n") < F.col("before")) | (F.col("before").isNull() & F.col("after").isNull())
+    return counted.withColumns({"before": before, "after": after}).filter(chosen).select("item", "gram").distinct()
+
+
+def items_by_text(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """key, items: the items to align with a text, in lists of ITEM_CHARS characters and one more item at most."""
+    line = Window.partitionBy("key").orderBy("item").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = pairs.join(items, "item").withColumn("part", F.floor(F.sum(F.length("text") + 64).over(line) / ITEM_CHARS))
+    return sized.groupBy("key", "part").agg(F.collect_list(F.struct("item_id", "text")).alias("items")).drop("part")
 
 
 def regions(hits: list[tuple], m: int) -> Iterator[list[tuple]]:
@@ -154,64 +184,72 @@ def located(query: np.ndarray, words: np.ndarray, offset: int) -> tuple[int, int
     return score, offset + j - back, offset + j
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Block]:
-    """The items in order of item_id, in blocks of about BLOCK_CHARS characters."""
-    held: list[tuple[int, str]] = []
-    size = 0
-    for r in benchmark.select("item_id", "text").filter("item_id is not null and text is not null").orderBy("item_id", "text").toLocalIterator():
-        if held and size + len(r["text"]) > BLOCK_CHARS:
-            yield Block(held)
-            held, size = [], 0
-        held.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    if held:
-        yield Block(held)
-
-
-def with_rare_seeds(docs: DataFrame, block: Block) -> Block:
-    """Counts the block's n-grams over all documents and keeps the rare ones as seeds."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(block.known), dtype=np.int64)
+def passages(words: np.ndarray, queries: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, float, int, int]]:
+    """(item_id, score, first word, end word) of each item of queries with a passage of MIN_SCORE at least in words."""
+    grams, wanted = grams_of(words), [grams_of(q) for _, q in queries]
+    at = np.flatnonzero(np.isin(grams, np.concatenate(wanted)))
+    places: dict[int, list[int]] = defaultdict(list)
+    for place, gram in zip(at.tolist(), grams[at].tolist()):
+        places[gram].append(place)
+    for (item, query), own_grams in zip(queries, wanted):
+        m, best = len(query), (0, 0, 0)
+        hits = [(place, own, gram) for own, gram in enumerate(own_grams.tolist()) for place in places.get(gram, ())]
+        for region in regions(hits, m):
+            if len({h[2] for h in region}) < min(SHARED, m - NGRAM + 1):
+                continue
+            low = max(0, min(p - own for p, own, _ in region) - m // 2)
+            high = min(len(words), max(p - own for p, own, _ in region) + m + m // 2)
+            best = max(best, located(query, words[low:high], low), key=lambda b: b[0])
+        if best[0] >= MIN_SCORE * MATCH * m:
+            yield item, best[0] / (MATCH * m), best[1], best[2]
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("string")))
+
+
+def on_key(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """rows (key, part from 0 to PARTS - 1) joined with other (key): the rows of one text are dealt over PARTS parts."""
+    dealt = other.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])))
+    return rows.join(dealt.hint("merge"), ["key", "part"])
+
+
+def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """key, doc_id, item_id, score, first_word, end_word for each row of docs and item whose passage it holds; key is the text's."""
+    known = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = written(known.withColumn("item", F.monotonically_increasing_id()), "leak_items")
+    grams = written(item_grams(items), "leak_grams")
+    text = F.col("text").cast("string")
+    rows = docs.select(text_key(text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter("text != ''")
+    hits = written(shared_grams(rows, filter_of(grams)), "leak_hits")
+    pairs = hits.join(rare_seeds(grams, hits), "gram").select("key", "item").distinct()
+    lists = written(items_by_text(pairs, items), "leak_pairs")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for batch in batches:
-            for text in batch.column(0):
-                total[np.unique(block.hits(block.numbers(text.as_py()))[1])] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["gram", "n"])
+            out = []
+            for key, doc, text, entries in zip(*(batch.column(i) for i in range(4))):
+                queries = [(e["item_id"], hashes.of(e["text"])) for e in entries.as_py()]
+                out += [(key.as_py(), doc.as_py(), *hit) for hit in passages(hashes.of(text.as_py()), queries)]
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
+            names = ["key", "doc_id", "item_id", "score", "first_word", "end_word"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 6, kinds)], names)
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram long, n long")
-    block.keep_rare({r["gram"]: r["n"] for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()})
-    return block
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    met = on_key(dealt, lists).select("key", "doc_id", "text", "items")
+    return met.mapInArrow(align, "key binary, doc_id long, item_id long, score double, first_word int, end_word int")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word for each document and item whose passage it holds."""
-    schema = "doc_id long, item_id long, score double, first_word int, end_word int"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = None
-    for block in blocks(benchmark):
-        ready = with_rare_seeds(rows, block)
-
-        def align(batches: Iterator[pa.RecordBatch], block: Block = ready) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)) for hit in block.found(text.as_py())]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
-                names = ["doc_id", "item_id", "score", "first_word", "end_word"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 5, kinds)], names)
-
-        part = rows.mapInArrow(align, schema)
-        found = part if found is None else found.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+    return found(docs, benchmark).drop("key")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark passage."""
-    for block in blocks(benchmark):
-        ready = with_rare_seeds(docs, block)
-
-        def keep(batches: Iterator[pa.RecordBatch], block: Block = ready) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not block.found(t.as_py()) for t in batch["text"]], pa.bool_()))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    leaked = written(found(docs, benchmark).select("key").distinct(), "leaked")
+    key, part = free_name(docs, "_key"), free_name(docs, "_part")
+    dealt = docs.withColumns({key: text_key(F.col("text")), part: F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")})
+    named = leaked.select(F.col("key").alias(key), F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias(part))
+    return dealt.join(named, [key, part], "left_anti").select(*docs.columns)

@@ -287,6 +287,37 @@ def test_decontamination(spark):
     assert decontam.matches(empty(spark), bench).count() == 0 and decontam.matches(documents(spark, data), bench.filter("false")).count() == 0
 
 
+def test_decontamination_against_aligning_every_pair(spark):
+    import numpy as np
+
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(300)]
+    items = [[rng.choice(words) for _ in range(rng.randint(12, 40))] for _ in range(12)]
+    data = []
+    for k in range(120):
+        copy, before, after = list(rng.choice(items)), [rng.choice(words) for _ in range(rng.randint(0, 60))], [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, len(copy) // 4)):  # words changed, left out and put in
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randint(0, 1)] = [rng.choice(words) for _ in range(rng.randint(0, 1))]
+        data.append((k, " ".join(before + (copy if k % 3 else []) + after)))
+    data += data[:2] + [(None, data[1][1])]
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string").withColumn("item", F.lit("x"))
+    number = {w: k for k, w in enumerate(words)}
+    expected = {}
+    for doc, text in data:
+        for k, item in enumerate(items):
+            score = decontam.aligned(*(np.array([number[w] for w in x]) for x in (item, text.split())))[0] / (2 * len(item))
+            if score >= 0.5:
+                expected[doc, k] = score
+    got = decontam.matches(documents(spark, data), bench).collect()
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in got}
+    assert len(got) == len(found) + 1 and (None, found and next(k for d, k in found if d == 1)) in found  # document 1 is there twice, and without an id
+    assert all(expected[pair] == score for pair, score in found.items())
+    assert len(found) >= 0.9 * len(expected) > 50
+    kept = sorted(str(r["doc_id"]) for r in decontam.clean_documents(documents(spark, data), bench).collect())
+    assert kept == sorted(str(d) for d, _ in data if d not in {d for d, _ in found})
+
+
 def test_alignment_against_a_plain_table():
     import numpy as np
 
