@@ -132,7 +132,7 @@ def shared_grams(texts: DataFrame, ones: np.ndarray) -> DataFrame:
 
 def rare_seeds(grams: DataFrame, hits: DataFrame) -> DataFrame:
     """item, gram: of each two neighbouring n-grams of an item that which fewer texts hold, the first of equals; a lone one is a seed."""
-    counts = hits.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    counts = hits.groupBy("gram").agg(F.count("*").alias("n"))  # before any join, so a common n-gram is summed where it is
     counted = grams.join(counts, "gram", "left").na.fill(0, ["n"])
     line = Window.partitionBy("item").orderBy("at")
     before, after = F.lag("n").over(line), F.lead("n").over(line)
