@@ -206,6 +206,21 @@ def folded_warnings(warnings: DataFrame, statements: int) -> DataFrame:
     return own.unionByName(shared.select("code", "detail", F.lit(None).cast("int").alias("doc_seq"), "times"))
 
 
+def file_control(checked: DataFrame, warnings: DataFrame) -> DataFrame:
+    """One row for each file that was read: what it holds, whether it balances, and its warnings joined by ' | '.
+
+    detected is false where the bank was given; reading is how its text was had.
+    """
+    said = F.concat_ws(": ", "code", F.nullif(F.col("detail"), F.lit("")))
+    told = warnings.groupBy("doc_seq").agg(F.array_join(F.array_sort(F.collect_set(said)), " | ").alias("warnings"))
+    given = {"file": F.lit(None).cast("string"), "detected": F.lit(True), "reading": F.lit("text")}
+    rows = checked.withColumns({k: v for k, v in given.items() if k not in checked.columns}).join(told, "doc_seq", "left")
+    return rows.select(
+        "doc_seq", F.regexp_extract("file", r"([^/\\]*)$", 1).alias("file"), "bank", "detected", account_key().alias("account"), "period_start", "period_end", "n",
+        "opening", "closing", "difference", "state", "reading", F.coalesce("warnings", F.lit("")).alias("warnings"),
+    )
+
+
 def verdict(monthly: DataFrame, checked: DataFrame | None = None) -> DataFrame:
     """One row: yes, yes with a caveat, or review."""
     months = monthly.agg(

@@ -203,6 +203,16 @@ def folded_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.folded_warnings(summary.statement_warnings(checked.withColumn("reversed", F.lit(True)), own), checked.count())
 
 
+@query("s11_file_control", oracle(WARNINGS.replace("{newest}", "reversed") + """, told AS (SELECT doc_seq, string_agg(DISTINCT code || CASE WHEN detail = '' THEN '' ELSE ': ' || detail END, ' | ' ORDER BY code || CASE WHEN detail = '' THEN '' ELSE ': ' || detail END) AS warnings FROM warnings GROUP BY doc_seq)
+SELECT doc_seq, bank, doc_seq % 6 <> 3 AS detected, account, period_start, period_end, n, opening, closing, gap AS difference,
+  CASE WHEN gap IS NULL THEN 's/saldos' WHEN abs(gap) <= 0.02 THEN 'OK' ELSE 'REVISAR' END AS state, 'doc' || doc_seq || '.txt' AS file, 'text' AS reading, coalesce(warnings, '') AS warnings
+FROM c LEFT JOIN told USING (doc_seq)"""))
+def file_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked, own = checked_statements(spark, sf_dir)
+    checked = checked.withColumn("file", F.concat(F.lit("in/doc"), "doc_seq", F.lit(".txt"))).withColumn("detected", F.col("doc_seq") % 6 != 3)
+    return summary.file_control(checked, summary.statement_warnings(checked, own))
+
+
 @query("a16_verdict", with_monthly(f"""SELECT wrong_months, unverified_months, incomplete, CASE WHEN wrong_months > 0 THEN 'REVISAR' WHEN unverified_months > 0 OR incomplete > 0 THEN 'SI, CON ADVERTENCIA' ELSE 'SI' END AS verdict
   FROM (SELECT count(*) FILTER (abs(difference) > 0.02) AS wrong_months, count(*) FILTER (difference IS NULL) AS unverified_months FROM checked),
   (SELECT count(*) FILTER (abs(opening + coalesce(net, 0) - closing) > 0.02) AS incomplete FROM statements LEFT JOIN (SELECT account, sum(amount) AS net FROM movements GROUP BY account) USING (account))"""))
