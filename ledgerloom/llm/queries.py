@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontam, html, licenses, packing, passages, quality, simhash, urls, warc
+from ledgerloom.llm import audit, chat, decontam, html, lexical, licenses, packing, passages, quality, simhash, toxicity, urls, warc
 from ledgerloom.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -62,9 +74,14 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
     "op10_html": op10_html,
+    "op11_toxicity": op11_toxicity,
+    "op12_audit": op12_audit,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_urls": urls.ORACLE,
     "op9_licenses": licenses.oracle(),
+    "op12_audit": audit.ORACLE,
+    "op13_lexical": lexical.ORACLE,
 }
