@@ -478,6 +478,12 @@ def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.matched(*standins.sides(spark, sf_dir))
 
 
+@query("j1_daily_fee", oracle(WALK.replace("bank_side", "fee_bank").replace("ledger_side", "fee_ledger") + "SELECT mov_id, row FROM walk"))
+def daily_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 where sessions last for years: they are settled in chunks, here of a few hundred rows."""
+    return reconcile.matched(*standins.fees(spark, sf_dir), chunk_rows=400)
+
+
 @query("j8_swapped_signs", oracle(WALK + """SELECT *, matched < 0.5 * movements AND turned > matched AS swapped FROM (
   SELECT (SELECT count(*) FROM bank_side) AS movements, (SELECT count(*) FROM walk) AS matched, (SELECT count(*) FROM bank_side m WHERE EXISTS (SELECT 1 FROM ledger_side l WHERE l.amount = -m.amount)) AS turned)"""))
 def swapped_signs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,16 @@ SELECT -mov_id AS row, date_add(date, CAST(mov_id % 9 - 4 AS INT)) AS date, 'Che
 FROM movements WHERE mov_id % 19 = 0
 """
 
+#: A fee that every account pays again and again: 25 amounts without a gap of days, most of them booked up to three days later.
+FEE_BANK = """
+SELECT CAST(o_orderkey AS BIGINT) AS mov_id, 'Banco Uno' AS bank, CAST(o_custkey AS STRING) AS account, CAST(o_orderdate AS DATE) AS date, concat('Cuota de manejo ', CAST(o_orderkey % 500 AS STRING)) AS description,
+       CAST(NULL AS STRING) AS document, CAST(NULL AS STRING) AS reference, CAST(-1000 - o_custkey % 25 AS DECIMAL(18,2)) AS amount FROM orders
+"""
+FEE_LEDGER = """
+SELECT CAST(o_orderkey AS BIGINT) AS row, CAST(date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey % 4 AS INT)) AS DATE) AS date, 'Cuota' AS description, CAST(-1000 - o_custkey % 25 AS DECIMAL(18,2)) AS amount,
+       CASE WHEN o_orderkey % 3 = 0 THEN concat('CE-', CAST(o_orderkey % 500 AS STRING)) END AS reference, CAST(NULL AS STRING) AS bank, CAST(o_custkey AS STRING) AS account FROM orders WHERE o_orderkey % 11 <> 0
+"""
+
 
 def views(spark: SparkSession, sf_dir: str) -> None:
     for name in ("orders", "customer", "part"):
@@ -92,9 +102,14 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tuple(spark.sql(q.replace("FROM movements", "FROM {movements}"), movements=own) for q in (BANK_SIDE, LEDGER_SIDE))
 
 
+def fees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    views(spark, sf_dir)
+    return spark.sql(FEE_BANK), spark.sql(FEE_LEDGER)
+
+
 def oracle(query: str) -> str:
     """query over the stand-ins, as common table expressions of the oracle's engine."""
     ledger = LEDGER_SIDE.replace("date_add(date, CAST(mov_id % 9 - 4 AS INT))", "CAST(date + CAST(mov_id % 9 - 4 AS INT) AS DATE)")
-    parts = {"movements": MOVEMENTS, "statements": STATEMENTS, "overlapping": OVERLAP, "bank_side": BANK_SIDE, "ledger_side": ledger}
+    parts = {"movements": MOVEMENTS, "statements": STATEMENTS, "overlapping": OVERLAP, "bank_side": BANK_SIDE, "ledger_side": ledger, "fee_bank": FEE_BANK, "fee_ledger": FEE_LEDGER.replace("date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey % 4 AS INT))", "CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 AS INT)")}
     used = ["movements", *[k for k in parts if k != "movements" and k in query]]
     return "WITH " + ",\n".join(f"{k} AS ({parts[k]})" for k in used) + (", " if query.lstrip().startswith("AND ") else "\n") + query.lstrip().removeprefix("AND ")

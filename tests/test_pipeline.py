@@ -4,6 +4,7 @@ import random
 from datetime import date, timedelta
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import breakdown, classify, reconcile, summary, unify
@@ -112,14 +113,8 @@ def test_party_union_against_all_pairs(spark):
 LEDGER = "row long, date date, description string, amount decimal(18,2), reference string, bank string, account string"
 
 
-def test_matching_against_a_loop(spark):
-    rng = random.Random(11)
-    start = date(2025, 1, 1)
-    banks = ["Banco Uno", "Banco Dos"]
-    rows = [(rng.choice(banks), "1", start + timedelta(rng.randint(0, 60)), f"pago {rng.randint(100, 140)}", str(rng.choice([10, 20, -5])), None, 0) for _ in range(80)]
-    m = movements(spark, rows)
-    entries = [(i, start + timedelta(rng.randint(0, 60)), "e", Decimal(rng.choice([10, 20, -5])), rng.choice([None, f"CE-{rng.randint(100, 140)}"]), rng.choice([None, "BANCO UNO", "BANCO"]), None) for i in range(70)]
-    got = {r["mov_id"]: r["row"] for r in reconcile.matched(m, spark.createDataFrame(entries, LEDGER)).collect()}
+def loop_of_matches(rows, entries):
+    """rows: (bank, account, day, description, amount, ...) in the order of mov_id; entries: (row, day, text, amount, reference, bank, ...)."""
     free, expected = {e[0]: e for e in entries}, {}
     for i, r in sorted(enumerate(rows), key=lambda x: (x[1][2], x[0])):
         options = []
@@ -132,7 +127,38 @@ def test_matching_against_a_loop(spark):
         if options:
             expected[i] = min(options)[2]
             del free[expected[i]]
-    assert got == expected
+    return expected
+
+
+@pytest.mark.parametrize("chunk_rows", [50_000, 25, 1])
+def test_matching_against_a_loop(spark, chunk_rows):
+    """Many sessions at once, some long and dense: each amount is one, with its own density and delay of entries."""
+    rng = random.Random(11 + chunk_rows)
+    start = date(2025, 1, 1)
+    banks = ["Banco Uno", "Banco Dos"]
+    rows, entries = [], []
+    for amount in range(1, 101):
+        days, late = rng.choice([8, 60, 200]), rng.choice([0, 1, 3, 6])
+        for _ in range(rng.randint(1, 40)):
+            day = start + timedelta(rng.randint(0, days))
+            if rng.random() < 0.9:
+                rows.append((rng.choice(banks), "1", day, f"pago {rng.randint(100, 140)}", str(amount), None, 0))
+            if rng.random() < 0.9:
+                entries.append((len(entries), day + timedelta(rng.randint(0, late)), "e", Decimal(amount), rng.choice([None, f"CE-{rng.randint(100, 140)}"]), rng.choice([None, "BANCO UNO", "BANCO"]), None))
+    got = {r["mov_id"]: r["row"] for r in reconcile.matched(movements(spark, rows), spark.createDataFrame(entries, LEDGER), chunk_rows=chunk_rows).collect()}
+    assert got == loop_of_matches(rows, entries)
+
+
+def test_a_daily_fee_is_spread(spark):
+    """One amount on each day of 20 years, booked a day late: every border matters to the next, and chunks stay even."""
+    start = date(2005, 1, 1)
+    rows = [("Banco Uno", "1", start + timedelta(k // 2), f"fee {k}", "-9", None, 0) for k in range(2 * 7300)]
+    entries = [(k, start + timedelta(k // 2 + 1), "e", Decimal(-9), None, None, None) for k in range(2 * 7300)]
+    m, ledger = movements(spark, rows), spark.createDataFrame(entries, LEDGER)
+    whole = {r["mov_id"]: r["row"] for r in reconcile.matched(m, ledger).collect()}
+    assert {r["mov_id"]: r["row"] for r in reconcile.matched(m, ledger, chunk_rows=4000).collect()} == whole and len(whole) > 14000
+    sizes = [r["n"] for r in reconcile.both_sides(m, ledger).join(reconcile.timeline(reconcile.both_sides(m, ledger), 5, 4000), ["amount", "date"]).groupBy("chunk").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
 
 
 def test_balance_of_a_reconciliation(spark):
