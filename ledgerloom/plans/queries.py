@@ -524,6 +524,19 @@ def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.parsed(printed.statements(spark, sf_dir))[0].select(*columns)
 
 
+@query("p4_rows_without_years", oracle(printed.PLAIN_ROWS))
+def rows_without_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days without a year over a year's end, amounts inside descriptions, signs by words."""
+    return statements.parsed(printed.plain_statements(spark, sf_dir))[0].select("doc_id", "date", "description", "amount", "sign_source")
+
+
+@query("p2_stated", oracle(printed.PLAIN_HEADS))
+def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account, period, balances and totals as they are printed."""
+    columns = ("doc_id", "account", "period_start", "period_end", "opening", "closing", "reported_in", "reported_out")
+    return statements.parsed(printed.plain_statements(spark, sf_dir))[1].select(*columns)
+
+
 @query("p10_parsed_statements", oracle(printed.STATEMENTS))
 def parsed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the statements say of themselves, or what follows from their rows."""
