@@ -40,9 +40,14 @@ def by_concept(detail: DataFrame) -> DataFrame:
     return rows.select("type", "concept", "n", "total", exact_mean(F.col("total"), F.col("n")).alias("mean"), percent_text(F.col("total"), whole).alias("share"))
 
 
+def concept_order() -> tuple[Column, ...]:
+    """What comes in first, then by total."""
+    return F.col("type") != "INGRESO", F.desc("total"), F.col("concept")
+
+
 def ordered_concepts(rows: DataFrame) -> DataFrame:
     """T3."""
-    return rows.orderBy(F.col("type") != "INGRESO", F.desc("total"), "concept")
+    return rows.orderBy(*concept_order())
 
 
 def ordered_detail(detail: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Concepts and parties of movements.
 
 Descriptions repeat, so the pattern chains run once for each distinct description and side and are
-joined back by them. User rules are a when-chain; parties are unified by a token join on each name's
+joined back by them. A few user rules are one CASE, many are
+found by pieces of text that they need; parties are unified by a token join on each name's
 rarest token, so common first names are never a join key unless a name has nothing else.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -81,10 +83,11 @@ def party_of(key: Column, concept: Column) -> Column:
 
 def rule_pattern(pattern: str) -> str:
     """Without accents, and matched in either case; classes such as \\d keep their meaning."""
-    import unicodedata
+    return "(?iU)" + plain_pattern(pattern)
 
-    plain = "".join(c for c in unicodedata.normalize("NFKD", pattern) if not unicodedata.combining(c))
-    return "(?iU)" + plain
+
+def plain_pattern(pattern: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", pattern) if not unicodedata.combining(c))
 
 
 def rule_values(key: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -95,6 +98,74 @@ def rule_values(key: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
     return tuple(cases([(hit, F.lit(value(r)).cast("string")) for hit, r in found]) for value in (lambda r: r.party, lambda r: r.concept))
 
 
+#: Letters of the pieces by which many rules find the descriptions that they may match.
+PIECE = 3
+#: Up to so many rules are one CASE; beyond, each would be tried on each description.
+CHAIN = 200
+
+
+#: What a pattern is made of, as far as it matters here: an escape, a class, a quantifier that may leave out what is before it, another sign.
+PATTERN_PART = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|[?*]|\{[^}]*\}|.", re.DOTALL)
+PLAIN = " -_,;:/&%#@!=<>~'\""
+
+
+def needed_texts(pattern: str) -> list[str]:
+    """For each part of a pattern between its outermost bars the longest text that it can't match without, in upper case;
+    empty if none is certain. Groups and classes, and whatever may be absent, count as unknown."""
+    if re.search(r"\(\?[a-zA-Z]*x", pattern):
+        return [""]
+    texts, longest, run, depth = [], "", "", 0
+    for part in PATTERN_PART.findall(pattern) + ["|"]:
+        escaped = len(part) == 2 and part[0] == "\\" and part.isascii() and not part[1].isalnum()
+        if not depth and (escaped or (len(part) == 1 and part.isascii() and (part.isalnum() or part in PLAIN))):
+            run += part[-1].upper()
+            continue
+        if part[0] in "?*{":
+            run = run[:-1]
+        longest, run = max(longest, run, key=len), ""
+        depth += (part == "(") - (part == ")")
+        if part == "|" and not depth:
+            texts.append(longest)
+            longest = ""
+    return texts
+
+
+def rule_numbers(keys: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """J10 for thousands of rules: _key, _rule (the place of the first rule found, from 0) for those of keys (_key, distinct) that any finds.
+
+    Each alternative of a rule is looked up by the rarest piece of a text that it can't match without: descriptions meet
+    the rules with which they share that piece, and only those are tried. Rules without such a text are one CASE.
+    """
+    texts = [needed_texts(plain_pattern(rule.pattern)) for rule in rules]
+    loose = [k for k, each in enumerate(texts) if any(len(t) < PIECE for t in each)]
+    firm = [(k, t) for k, each in enumerate(texts) if k not in set(loose) for t in each]
+    rows = [(i, k, rule_pattern(rules[k].pattern), sorted({t[j : j + PIECE] for j in range(len(t) - PIECE + 1)})) for i, (k, t) in enumerate(firm)]
+    each = keys.sparkSession.createDataFrame(rows, "_part int, _rule int, _pattern string, _pieces array<string>")
+    places = F.sequence(F.lit(1), F.greatest(F.length("_key") - PIECE + 1, F.lit(1)))
+    pieces = keys.select("_key", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("_key", i, F.lit(PIECE))))).alias("_piece"))
+    asked = each.select("_part", F.explode("_pieces").alias("_piece"))
+    met = written(pieces.join(asked.select("_piece").distinct(), "_piece", "left_semi"), "pieces")
+    uses = met.groupBy("_piece").agg(F.count("*").alias("_uses"))
+    # An alternative of which some piece is nowhere finds nothing.
+    chosen = asked.join(uses, "_piece", "left").groupBy("_part").agg(F.min_by("_piece", F.struct(F.coalesce("_uses", F.lit(0)), "_piece")).alias("_piece"))
+    tried = met.join(chosen, "_piece").join(each.select("_part", "_rule", "_pattern"), "_part").filter(F.expr("_key rlike _pattern"))
+    found = tried.select("_key", "_rule")
+    if loose:
+        number = cases([(F.col("_key").rlike(rule_pattern(rules[k].pattern)), F.lit(k)) for k in loose])
+        found = found.unionByName(keys.select("_key", number.alias("_rule")).filter("_rule is not null"))
+    return found.groupBy("_key").agg(F.min("_rule").alias("_rule"))
+
+
+def with_rules(keyed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """keyed (with _key) and the party and concept of the first rule found as _rule_party, _rule_concept."""
+    if len(rules) <= CHAIN:
+        party, concept = rule_values(F.col("_key"), rules)
+        return keyed.withColumns({"_rule_party": party, "_rule_concept": concept})
+    told = keyed.sparkSession.createDataFrame([(i, r.party, r.concept) for i, r in enumerate(rules)], "_rule int, _rule_party string, _rule_concept string")
+    numbers = rule_numbers(keyed.select("_key").distinct(), rules).join(told, "_rule").drop("_rule")
+    return keyed.join(numbers, "_key", "left")
+
+
 def valid_rules(rows: Sequence[tuple[str, str | None, str | None]]) -> tuple[list[Rule], list[str]]:
     """Rules whose pattern compiles, and what is wrong with the others."""
     rules, wrong = [], []
@@ -112,9 +183,8 @@ def classified(movements: DataFrame, rules: Sequence[Rule] = (), unify: bool = T
     side = F.when(F.col("amount") > 0, "INGRESO").otherwise("EGRESO")
     keyed = movements.drop("concept", "party").withColumn("_side", side)
     distinct = keyed.select("description", "_side").distinct().withColumn("_key", canon(F.col("description")))
-    rule_party, rule_concept = rule_values(F.col("_key"), rules)
-    named = distinct.withColumn("concept", F.coalesce(rule_concept, concept_of(F.col("_key"), F.col("_side"))))
-    named = named.withColumn("party", F.coalesce(rule_party, party_of(F.col("_key"), F.col("concept")))).drop("_key")
+    named = with_rules(distinct, rules).withColumn("concept", F.coalesce("_rule_concept", concept_of(F.col("_key"), F.col("_side"))))
+    named = named.withColumn("party", F.coalesce("_rule_party", party_of(F.col("_key"), F.col("concept")))).drop("_key", "_rule_party", "_rule_concept")
     # Written: the chains run once, and filters on their results aren't pushed down into copies of them.
     named = written(named, "descriptions")
     out = keyed.join(named, keyed["description"].eqNullSafe(named["description"]) & (keyed["_side"] == named["_side"]), "left").drop(named["description"], named["_side"]).drop("_side")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money, text
 from ledgerloom.operators import breakdown, classify, filters, reconcile, statements, summary, unify
+from ledgerloom.operators.order import positions
 from ledgerloom.plans import printed, standins
 from ledgerloom.plans import taxonomy as t
 from ledgerloom.plans.standins import oracle
@@ -265,6 +266,19 @@ def directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standins.movements(spark, sf_dir).select("mov_id", money.direction(amount).alias("type"), money.inflow(amount).alias("inflow"), money.outflow(amount).alias("outflow"))
 
 
+@query("t1_positions", oracle("SELECT mov_id, row_number() OVER (ORDER BY bank, account, date, doc_seq, seq) AS position FROM movements"))
+def movement_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each movement's number in report order."""
+    order = (F.col("bank"), summary.account_key(), F.col("date"), F.col("doc_seq"), F.col("seq"))
+    return positions(standins.movements(spark, sf_dir), *order).select("mov_id", "position")
+
+
+@query("t2_report_positions", with_monthly("SELECT bank, account, month, row_number() OVER (ORDER BY month, bank, account) AS position FROM checked"))
+def report_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2."""
+    return positions(monthly(spark, sf_dir), F.col("month"), F.col("bank"), summary.account_key()).select("bank", "account", "month", "position")
+
+
 @query("t5_first_movements", oracle("SELECT bank, account, date, amount, mov_id FROM movements ORDER BY bank, account, date, doc_seq, seq LIMIT 100"))
 def first_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 100 in report order; a limit is the feature."""
@@ -381,6 +395,28 @@ def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standins.movements(spark, sf_dir).select("mov_id", party.alias("rule_party"), concept.alias("rule_concept"))
 
 
+#: The n-th of 5,000 rules looks for a number, but for a few with words, alternatives, and no text of their own.
+MANY = 5000
+WORDED_RULES = {10: r"red\s+widget\b", 40: "comisión.*(hot|cold) ", 2000: "blue ring|old (anvil|bolt)", 4000: r"\b\d{3}\b"}
+
+
+def many_rules() -> list[classify.Rule]:
+    return [classify.Rule(WORDED_RULES.get(k, rf"\b{1000 + 7 * k}\b"), f"Tercero {k}" if k % 3 else None, f"Concepto {k}" if k % 2 else None) for k in range(MANY)]
+
+
+@query("j10_many_rules", oracle(f"""AND keyed AS (SELECT mov_id, {CANON.format("description")} AS k FROM movements),
+numbered AS (SELECT *, TRY_CAST(nullif(regexp_extract(k, ' (\\d+)$', 1), '') AS BIGINT) AS x FROM keyed),
+found AS (SELECT mov_id, least(CASE WHEN regexp_matches(k, 'RED\\s+WIDGET\\b') THEN 10 END, CASE WHEN regexp_matches(k, 'COMISION.*(HOT|COLD) ') THEN 40 END, CASE WHEN regexp_matches(k, 'BLUE RING|OLD (ANVIL|BOLT)') THEN 2000 END,
+  CASE WHEN regexp_matches(k, '\\b\\d{{3}}\\b') THEN 4000 END, CASE WHEN x >= 1000 AND (x - 1000) % 7 = 0 AND x < {1000 + 7 * MANY} AND (x - 1000) // 7 NOT IN ({", ".join(map(str, WORDED_RULES))}) THEN (x - 1000) // 7 END) AS rule FROM numbered)
+SELECT mov_id, CASE WHEN rule % 3 <> 0 THEN 'Tercero ' || rule END AS rule_party, CASE WHEN rule % 2 <> 0 THEN 'Concepto ' || rule END AS rule_concept FROM found WHERE rule IS NOT NULL"""))
+def found_by_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J10 with 5,000 rules; the movements that some rule finds."""
+    keyed = standins.movements(spark, sf_dir).select("mov_id", text.canon(F.col("description")).alias("_key"))
+    found = classify.rule_numbers(keyed.select("_key").distinct(), many_rules())
+    told = spark.createDataFrame([(k, r.party, r.concept) for k, r in enumerate(many_rules())], "_rule int, rule_party string, rule_concept string")
+    return keyed.join(found.join(told, "_rule"), "_key").select("mov_id", "rule_party", "rule_concept")
+
+
 @query("a6_by_concept", oracle(CLASSIFIED + f""", g AS (SELECT type, concept, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS {D}) AS total, CAST(sum(total) * 100 AS HUGEINT) AS cents FROM detail GROUP BY ALL)
 SELECT type, concept, n, total,
   CAST(CAST(cents // n + CASE WHEN 2 * (cents % n) > n OR (2 * (cents % n) = n AND (cents // n) % 2 = 1) THEN 1 ELSE 0 END AS DECIMAL(30,0)) * 0.01 AS DECIMAL(18,2)) AS mean,
@@ -389,6 +425,14 @@ def by_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return breakdown.by_concept(breakdown.by_concept_and_party(classified_rows(spark, sf_dir)))
 
 
+@query("t3_concept_positions", oracle(CLASSIFIED + f""", g AS (SELECT type, concept, CAST(sum(total) AS {D}) AS total FROM detail GROUP BY ALL)
+SELECT type, concept, row_number() OVER (ORDER BY type <> 'INGRESO', total DESC, concept) AS position FROM g"""))
+def concept_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3."""
+    rows = breakdown.by_concept(breakdown.by_concept_and_party(classified_rows(spark, sf_dir)))
+    return positions(rows, *breakdown.concept_order()).select("type", "concept", "position")
+
+
 @query("a7_by_concept_and_party", oracle(CLASSIFIED + "SELECT * FROM detail"))
 def by_concept_and_party(spark: SparkSession, sf_dir: str) -> DataFrame:
     return breakdown.by_concept_and_party(classified_rows(spark, sf_dir))
@@ -498,6 +542,14 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.sections(reconcile.items(bank, ledger, reconcile.matched(bank, ledger)))
 
 
+@query("t6_section_positions", oracle(ITEMS + "SELECT status, mov_id, row, row_number() OVER (ORDER BY status, coalesce(bank_date, book_date), coalesce(mov_id, row)) AS position FROM items"))
+def section_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6."""
+    bank, ledger = standins.sides(spark, sf_dir)
+    rows = reconcile.items(bank, ledger, reconcile.matched(bank, ledger))
+    return positions(rows, *reconcile.section_order()).select("status", "mov_id", "row", "position")
+
+
 @query("f6_ledger_days", oracle("SELECT row, date, amount FROM ledger_side WHERE date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'"))
 def ledger_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the entries of the days that are reconciled."""

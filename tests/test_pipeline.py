@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import breakdown, classify, reconcile, summary, unify
+from ledgerloom.operators.order import positions
 from ledgerloom.plans import taxonomy
 
 MOVEMENT = "bank string, account string, date date, description string, amount decimal(18,2), balance decimal(18,2), sign_source string, doc_seq int, seq int, mov_id long, document string, reference string, file string"
@@ -176,3 +177,40 @@ def test_empty_tables(spark):
     assert summary.monthly_summary(m).count() == 0
     assert classify.classified(m).count() == 0
     assert breakdown.by_party(classify.classified(m, unify=False)).count() == 0
+
+
+def test_needed_texts():
+    cases = {
+        r"red\s+widget\b": ["WIDGET"], "abc|de fg": ["ABC", "DE FG"], "ab?cd": ["CD"], "(abc|d)xyz": ["XYZ"], r"a\.b-c": ["A.B-C"], r"\d{3}": [""], "[abc]def": ["DEF"], "ab{2}cd": ["CD"], "a+bc": ["BC"],
+        "(?i)hello": ["HELLO"], "(?x) a b c": [""], "[)]ab(c|[(|])": ["AB"], "x|": ["X", ""], r"a\|b": ["A|B"], "ñandu": ["ANDU"], "": [""], "abc*": ["AB"], r"\bNO ME": ["NO ME"],
+    }
+    assert {k: classify.needed_texts(k) for k in cases} == cases
+
+
+def test_many_rules_against_the_chain(spark):
+    rng = random.Random(8)
+    words = ["pago", "abono", "widget", "red", "hot bolt", "comisión", "nº 5", "a", "zz9"]
+    shapes = ["{a} {b}", "{a}.*{b}", r"\b{a}\b", "{a}|{b}", "({a}|{b}) {c}", "{a}s?", "^{a}", r"{b}$", "{a}+", "[ab]{a}", r"\d{{2,}} {a}", r"{a}\s*{b}", "a", r"\d\d\d\d", "(?=.*{a}).*{b}"]
+    rules = [classify.Rule(rng.choice(shapes).format(a=rng.choice(words), b=rng.choice(words), c=rng.choice(words)), f"p{i}" if rng.random() < 0.8 else None, f"c{i}") for i in range(120)]
+    rules.insert(60, classify.Rule("nowhere to be found", "x", "y"))
+    texts = [(" ".join(rng.choice([*words, str(rng.randint(1, 12000)), "otros"]) for _ in range(rng.randint(0, 6))),) for _ in range(400)] + [(None,), ("",)]
+    keys = spark.createDataFrame(texts, "d string").selectExpr("coalesce(upper(d), '') d").distinct()
+    for own in (rules[::-1], rules[:70:7], rules[60:61]):
+        keyed = keys.withColumn("_key", classify.canon(F.col("d")))
+        chain = {r["_key"]: (r["_rule_party"], r["_rule_concept"]) for r in classify.with_rules(keyed, own).collect()}
+        classify.CHAIN, was = 0, classify.CHAIN
+        try:
+            many = {r["_key"]: (r["_rule_party"], r["_rule_concept"]) for r in classify.with_rules(keyed, own).collect()}
+        finally:
+            classify.CHAIN = was
+        assert many == chain
+
+
+def test_positions(spark):
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 5), rng.random() if rng.random() < 0.9 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b double, id long").repartition(7)
+    got = {r["id"]: r["position"] for r in positions(df, F.col("a"), F.desc_nulls_last("b"), F.col("id")).collect()}
+    expected = sorted(rows, key=lambda r: (r[0], r[1] is None, -(r[1] or 0), r[2]))
+    assert got == {r[2]: k for k, r in enumerate(expected, 1)}
+    assert positions(df.filter("false"), F.col("id")).count() == 0
