@@ -2,8 +2,8 @@
 
 Descriptions repeat, so the pattern chains run once for each distinct description and side and are
 joined back by them. A few user rules are one CASE, many are
-found by pieces of text that they need; parties are unified by a token join on each name's
-rarest token, so common first names are never a join key unless a name has nothing else.
+found by pieces of text that they need; parties are unified by the
+words and pairs of words that names share, so that common first names don't bring all their bearers together.
 """
 
 from __future__ import annotations
@@ -200,20 +200,36 @@ def party_names(movements: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min_by("party", best).alias("name"))
 
 
+def word_pairs(words: Column) -> Column:
+    """All pairs of distinct words, in their order."""
+    ordered = F.array_sort(F.array_distinct(words))
+    return F.flatten(F.transform(ordered, lambda x: F.transform(F.filter(ordered, lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+
+
+def candidates(words: DataFrame) -> DataFrame:
+    """key, words, into, into_words of names of three words and more that share the pair of words which is rarest in key."""
+    rows = words.filter(F.size("words") >= 3).select("key", "words", F.explode(word_pairs(F.col("words"))).alias("pair"))
+    uses = rows.groupBy("pair").agg(F.count("*").alias("uses"))
+    rarest = rows.join(uses, "pair").groupBy("key").agg(F.min_by("pair", F.struct("uses", "pair")).alias("pair"), F.first("words").alias("words"))
+    return rarest.join(rows.select(F.col("key").alias("into"), F.col("words").alias("into_words"), "pair"), "pair")
+
+
 def absorbing(names: DataFrame) -> DataFrame:
     """Key, into: the key whose words hold all words of this one and more; the one with most words, the first of equals.
 
-    A key must have two words or six characters to go into another.
+    A key must have two words or six characters to go into another. What holds one word or two given ones is an
+    aggregate by word or pair, however many names have them; only longer names are compared, with those that share
+    their rarest pair.
     """
     words = names.select("key", F.array_distinct(F.split("key", " ")).alias("words"))
-    rows = words.select("key", "words", F.explode("words").alias("word"))
-    uses = rows.groupBy("word").agg(F.count("*").alias("uses"))
-    small = rows.filter((F.size("words") >= 2) | (F.length("key") >= 6)).join(uses, "word")
-    rarest = small.groupBy("key").agg(F.min_by("word", F.struct("uses", "word")).alias("word"), F.first("words").alias("words"))
-    big = rows.select(F.col("key").alias("into"), F.col("words").alias("into_words"), "word")
+    fullest = F.min_by("key", F.struct(-F.size("words"), F.col("key")))
+    by_word = words.filter(F.size("words") > 1).select("key", "words", F.explode("words").alias("word")).groupBy("word").agg(fullest.alias("into"))
+    one = words.filter((F.size("words") == 1) & (F.length("key") >= 6)).select("key", F.get("words", F.lit(0)).alias("word")).join(by_word, "word").select("key", "into")
+    by_pair = words.filter(F.size("words") > 2).select("key", "words", F.explode(word_pairs(F.col("words"))).alias("pair")).groupBy("pair").agg(fullest.alias("into"))
+    two = words.filter(F.size("words") == 2).select("key", F.get(word_pairs(F.col("words")), F.lit(0)).alias("pair")).join(by_pair, "pair").select("key", "into")
     holds = (F.size("into_words") > F.size("words")) & (F.size(F.array_except("words", "into_words")) == 0)
-    pairs = rarest.join(big, "word").filter(holds)
-    return pairs.groupBy("key").agg(F.min_by("into", F.struct(-F.size("into_words"), F.col("into"))).alias("into"))
+    more = candidates(words).filter(holds).groupBy("key").agg(F.min_by("into", F.struct(-F.size("into_words"), F.col("into"))).alias("into"))
+    return one.unionByName(two).unionByName(more)
 
 
 def unified_parties(movements: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money, text
@@ -14,6 +15,8 @@ from ledgerloom.plans import printed, standins
 from ledgerloom.plans import taxonomy as t
 from ledgerloom.plans.standins import oracle
 from ledgerloom.sources import files
+from ledgerloom.sources.shared import shared_dir
+from ledgerloom.streaming import inbox
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -285,6 +288,88 @@ def first_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standins.movements(spark, sf_dir).orderBy("bank", summary.account_key(), "date", "doc_seq", "seq").limit(100).select("bank", "account", "date", "amount", "mov_id")
 
 
+# --- files written and read back -------------------------------------------------------------------
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query("s1_statement_files", """SELECT source, row_number() OVER (ORDER BY source) - 1 AS doc_seq, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS breaks
+  FROM documents GROUP BY source""")
+def statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each source with a page for each document, below two paths of which one holds the other."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    folder = new_folder(spark, "texts")
+    docs.groupBy("source").agg(F.array_join(pages, files.PAGE_BREAK).alias("value")).write.partitionBy("source").option("lineSep", "\f").text(folder)
+    read = files.read_statements(spark, [folder, f"{folder}/source=src0"], "*.txt")
+    body = F.filter("pages", lambda x: x != "")  # the writer ends a file with a page break
+    chars = F.aggregate(body, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    breaks = F.aggregate(body, F.lit(0).cast("long"), lambda a, x: a + F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
+    place = F.row_number().over(Window.orderBy("doc_seq")).cast("long") - 1  # a row for each file
+    return read.select(F.regexp_extract("file", "source=([^/]+)/", 1).alias("source"), place.alias("doc_seq"), F.size(body).cast("long").alias("pages"), chars.alias("chars"), breaks.alias("breaks"))
+
+
+#: Ledgers of 25 owners in three dialects: separators, titles, sides or signed amounts, commas or points.
+LEDGER_FILES = """
+SELECT owner, CASE owner % 3 WHEN 0 THEN 'Fecha;Comprobante;Descripcion;Debito;Credito' WHEN 1 THEN 'Date,Detalle,Valor' ELSE concat_ws(chr(9), 'FECHA', 'GLOSA', 'NUMERO', 'MONTO') END AS titles, o_orderkey AS id,
+  CASE owner % 3
+    WHEN 0 THEN concat_ws(';', day, concat('CE-', o_orderkey), 'Venta; con signo', CASE WHEN amount >= 0 THEN points ELSE '' END, CASE WHEN amount < 0 THEN points ELSE '' END)
+    WHEN 1 THEN concat_ws(',', day, concat('"Nota, ', o_orderkey, '"'), concat('"', CASE WHEN amount < 0 THEN '-' ELSE '' END, commas, '"'))
+    ELSE concat_ws(chr(9), day, 'Glosa', o_orderkey, concat(CASE WHEN amount < 0 THEN '-' ELSE '' END, commas)) END AS line
+FROM (SELECT o_custkey % 25 AS owner, o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'sin fecha' ELSE date_format(o_orderdate, 'dd/MM/yyyy') END AS day, CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS amount,
+  format_number(o_totalprice, 2) AS commas, translate(format_number(o_totalprice, 2), ',.', '.,') AS points FROM orders)
+"""
+
+
+@query("s4_ledger_files", """SELECT o_custkey % 25 AS owner, row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderkey) + 1 AS row, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderdate AS DATE) END AS date,
+  CASE o_custkey % 25 % 3 WHEN 0 THEN 'Venta; con signo' WHEN 1 THEN 'Nota, ' || o_orderkey ELSE 'Glosa' END AS description, CAST(CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS DECIMAL(18,2)) AS amount,
+  CASE o_custkey % 25 % 3 WHEN 0 THEN 'CE-' || o_orderkey WHEN 2 THEN CAST(o_orderkey AS VARCHAR) END AS reference FROM orders QUALIFY o_orderkey % 17 <> 0""")
+def ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of ledgers in three dialects, read in one job."""
+    standins.views(spark, sf_dir)
+    rows = spark.sql(LEDGER_FILES.replace("'Venta; con signo'", "'\"Venta; con signo\"'"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n")
+    folder = new_folder(spark, "ledgers")
+    rows.groupBy("owner").agg(F.concat(F.first("titles"), F.lit("\n"), lines).alias("value")).write.partitionBy("owner").text(folder)
+    entries, _ = files.read_ledgers(spark, [folder], "*.txt")
+    return entries.select(F.regexp_extract("file", r"owner=(\d+)/", 1).cast("long").alias("owner"), "row", "date", "description", "amount", "reference")
+
+
+@query("s7_rules_file", """SELECT row_number() OVER (ORDER BY n_nationkey) AS rule_no, n_name AS pattern, 'Tercero ' || n_nationkey AS party, CASE WHEN n_nationkey % 2 = 0 THEN 'Concepto' END AS concept FROM nation""")
+def rules_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules with a title, comments and one that can't be compiled, in the order of the file."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey")
+    lines = rows.select(F.concat_ws(";", "n_name", F.concat(F.lit("Tercero "), "n_nationkey"), F.when(F.col("n_nationkey") % 2 == 0, "Concepto").otherwise("")).alias("line"))
+    told = lines.agg(F.concat(F.lit("patron;tercero;concepto\n# nota\n(;sin;cierre\n"), F.array_join(F.collect_list("line"), "\n")).alias("value"))
+    folder = new_folder(spark, "rules")
+    told.coalesce(1).write.text(folder)
+    rules, wrong = files.read_rules(spark, folder)
+    assert len(wrong) == 1, wrong
+    return spark.createDataFrame([(k, r.pattern, r.party, r.concept) for k, r in enumerate(rules, 1)], "rule_no long, pattern string, party string, concept string")
+
+
+@query("s9_csv_sink", oracle(f"SELECT CAST(mov_id AS VARCHAR) AS mov_id, bank, strftime(date, '%Y-%m-%d') AS date, {AMOUNT_TEXT.format('amount')} AS amount, CASE WHEN balance IS NOT NULL THEN {AMOUNT_TEXT.format('balance')} END AS balance, description FROM movements"))
+def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as CSV and read back as text."""
+    folder = new_folder(spark, "csv")
+    files.write_csv(standins.movements(spark, sf_dir).select("mov_id", "bank", "date", "amount", "balance", "description"), folder)
+    return spark.read.option("sep", ";").option("header", True).csv(folder)
+
+
+@query("s12_reports_by_label", oracle(f"""SELECT replace(label, ' ', '_') AS label, report, n, net FROM (
+  SELECT label, 'movements' AS report, count(*) AS n, CAST(sum(amount) AS {D}) AS net FROM (SELECT 'CONSOLIDADO' AS label, amount FROM movements UNION ALL SELECT bank, amount FROM movements) GROUP BY label
+  UNION ALL SELECT label, 'accounts', count(*), CAST(sum(net) AS {D}) FROM (SELECT label, account, sum(amount) AS net FROM (SELECT 'CONSOLIDADO' AS label, account, amount FROM movements UNION ALL SELECT bank, account, amount FROM movements) GROUP BY ALL) GROUP BY label)"""))
+def reports_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set of reports parted by label, and what their folders hold."""
+    parted = summary.split_by(standins.movements(spark, sf_dir), "bank").select("label", "account", "amount")
+    folder = new_folder(spark, "reports")
+    files.export({"movements": parted, "accounts": parted.groupBy("label", "account").agg(summary.total(F.col("amount")).alias("amount"))}, folder, label="label")
+    read = [spark.read.parquet(f"{folder}/{name}").groupBy("label").agg(F.count("*").alias("n"), summary.total(F.col("amount")).alias("net")).withColumn("report", F.lit(name)) for name in ("movements", "accounts")]
+    return read[0].unionByName(read[1]).select("label", "report", "n", "net")
+
+
 # --- union of overlapping statements ---------------------------------------------------------------
 
 FINGERPRINTED = f"""AND fp AS (SELECT *, left(sha1(concat_ws('|', {CANON.format("bank")}, {CANON.format("account")}, strftime(date, '%Y-%m-%d'), CAST(amount AS VARCHAR),
@@ -589,6 +674,33 @@ def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.parsed(printed.plain_statements(spark, sf_dir))[1].select(*columns)
 
 
+@query("p11_diagnostics", """SELECT CAST(o_custkey % 25 AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderkey) AS rank, 'Pendiente ' || format('{:,.2f}', CAST(o_totalprice AS DOUBLE)) AS line FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderkey) <= 30""")
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of statements without a single day, the first 30 lines that hold an amount; the limit is the feature."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 25).alias("owner"), "o_orderkey", F.concat(F.lit("  Pendiente      "), F.format_number("o_totalprice", 2)).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"])
+    docs = rows.groupBy("owner").agg(F.array(F.array_join(lines, "\n")).alias("pages")).select(F.col("owner").cast("string").alias("doc_id"), F.col("owner").cast("int").alias("doc_seq"), F.lit("in/x.txt").alias("file"), "pages")
+    return statements.diagnostics(statements.parsed(docs)[2], 30).select("doc_id", F.col("rank").cast("long").alias("rank"), "line")
+
+
+@query("u4_inbox", """WITH rows_ AS (SELECT o_custkey % 25 AS owner, CAST(o_orderdate AS DATE) + INTERVAL 300 MONTH AS day, CAST(-1000 - o_custkey % 7 AS DECIMAL(18,2)) AS amount, o_orderkey AS id FROM orders),
+counts AS (SELECT owner, day, amount, count(*) FILTER (id % 10 < 7) AS a, count(*) FILTER (id % 10 >= 5) AS b FROM rows_ GROUP BY ALL)
+SELECT lpad(CAST(owner AS VARCHAR), 10, '0') AS account, CAST(day AS DATE) AS date, amount, greatest(a, b) AS n FROM counts""")
+def inbox_of_two_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of 25 accounts arrive in a folder, then later ones that overlap them; the movements, overlaps counted once."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 25).alias("owner"), F.add_months(F.col("o_orderdate").cast("date"), 300).alias("day"), (1000 + F.col("o_custkey") % 7).alias("size"), F.col("o_orderkey").alias("id"))
+    line = F.concat(F.date_format("day", "yyyy/MM/dd"), F.lit("   Cuota de manejo        "), F.format_number("size", 2))
+    folder, table, marks = (new_folder(spark, label) for label in ("inbox", "inbox_table", "inbox_marks"))
+    for turn, own in enumerate(("id % 10 < 7", "id % 10 >= 5")):
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", "id", line.alias("line")))), lambda x: x["line"]), "\n")
+        head = F.concat(F.lit("COOPERATIVA\nCUENTA No. "), F.lpad(F.col("owner").cast("string"), 10, "0"), F.lit("\n"))
+        rows.filter(own).groupBy("owner").agg(lines.alias("_lines")).select("owner", F.concat(head, "_lines").alias("value")).write.partitionBy("owner").text(f"{folder}/turn{turn}")
+        inbox.watch(spark, folder, table, f"{marks}/a").awaitTermination()
+        inbox.settle(spark, table, f"{marks}/b").awaitTermination()
+    return inbox.current(spark, table).groupBy("account", "date", "amount").agg(F.count("*").alias("n"))
+
+
 @query("p10_parsed_statements", oracle(printed.STATEMENTS))
 def parsed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the statements say of themselves, or what follows from their rows."""
