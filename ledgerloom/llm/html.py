@@ -6,8 +6,10 @@ tag and those words. Sum-product messages upward and downward give each element'
 text of elements that are more likely content than not is kept.
 
 The tables are counts over labelled pages: those of a bounded sample (SAMPLE_PAGES) whose main part is
-marked by an article or main element, which labels what is inside and outside it. Prior counts stand in
-for what no labelled page shows.
+marked by an article or main element, which labels what is inside and outside it by place alone. Prior counts
+stand in for what no labelled page shows. Two bounds hold whatever the sample shows, as its pages may know no
+asides or comments within an article: an element that its tag or words call boilerplate is content under content
+with BOILER_MOST at most, and the length of what it holds is no evidence for it.
 
 Defined results: null and empty html give an empty text; a page of nothing but text gives that text;
 repeated rows are each extracted; an empty table gives an empty result; other columns are ignored.
@@ -30,6 +32,8 @@ PRIOR = 2.0
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Between the words of sideBar.
+BORDER = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: An attribute by which an element isn't shown.
 HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=[\s/"'=]|$)(?!\s*=\s*["']?until-found)|aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
 #: Their insides are no text of the page.
@@ -43,9 +47,13 @@ ENDS_ITEM = frozenset("ul ol dl table".split())
 #: The elements of a head; any other, and text, ends a head that isn't closed.
 HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 
+#: Probabilities that training can't raise: of content for boilerplate under other parts, and under content.
+BOILER_MOST = (0.05, 0.1)
+#: These hold pages and articles; words in their classes say what else there is.
+WHOLE_TAGS = frozenset("html body article main".split())
 BOILER_TAGS = frozenset("nav aside footer header form menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
-BOILER_WORDS = frozenset("ad ads advert adverts advertisement banner nav navbar navigation menu sidebar footer header comment comments reply cookie cookies consent notice notices promo promotion sponsor sponsored share sharing social related breadcrumb breadcrumbs popup modal newsletter subscribe subscription widget toolbar login signup search form alert disclaimer".split())
+BOILER_WORDS = frozenset("ad ads advert adverts advertisement banner nav navbar navigation menu sidebar footer header comment comments reply cookie cookies consent notice notices promo promotion sponsor sponsored share sharing social related breadcrumb breadcrumbs popup modal newsletter subscribe subscription widget toolbar login signup search form alert disclaimer replies respond disqus commentlist commenting sidenav topbar promoted adsense adbox adslot recommended trending pagination pager complementary contentinfo gdpr".split())
 MAIN_WORDS = frozenset("article content post entry main story body text".split())
 
 
@@ -60,6 +68,11 @@ class Page:
         #: Elements whose insides are no text of the page.
         self.skipped: set[int] = set()
         self.read(html)
+        #: The lengths of text, and of link text, with what is inside.
+        self.whole, self.whole_linked = list(self.length), list(self.linked)
+        for e in range(len(self.tags) - 1, 0, -1):
+            self.whole[self.parents[e]] += self.whole[e]
+            self.whole_linked[self.parents[e]] += self.whole_linked[e]
 
     def read(self, html: str) -> None:
         stack, at, skipping, links = [0], 0, 0, 0
@@ -118,7 +131,7 @@ class Page:
                 continue
             element = len(self.tags)
             self.tags.append(tag)
-            self.hints.append(hint(m[3]) if m[3] else "none")
+            self.hints.append(hint(tag, m[3]) if m[3] else "none")
             self.parents.append(stack[-1])
             self.length.append(0)
             self.linked.append(0)
@@ -133,12 +146,8 @@ class Page:
 
     def features(self) -> list[tuple[str, str]]:
         """Bins of text length and of the share of link text, with what is inside."""
-        length, linked = list(self.length), list(self.linked)
-        for e in range(len(length) - 1, 0, -1):
-            length[self.parents[e]] += length[e]
-            linked[self.parents[e]] += linked[e]
         out = []
-        for n, a in zip(length, linked):
+        for n, a in zip(self.whole, self.whole_linked):
             size = "none" if not n else "word" if n < 20 else "line" if n < 80 else "lines" if n < 300 else "long"
             share = a / n if n else 0
             out.append((f"size {size}", f"links {'none' if not share else 'few' if share < 0.3 else 'many' if share < 0.7 else 'all'}"))
@@ -151,14 +160,36 @@ class Page:
             return None
         out = [False]
         for e in range(1, len(self.tags)):
-            boiler = self.tags[e] in BOILER_TAGS or self.hints[e] == "boiler" or self.tags[e] in SKIPPED
-            out.append(not boiler and (out[self.parents[e]] or self.tags[e] == wanted))
+            out.append(self.tags[e] not in SKIPPED and (out[self.parents[e]] or self.tags[e] == wanted))
         return out
 
+    def holding(self) -> list[bool]:
+        """By element: whether it is a block that holds text of its own, or in its lines."""
+        out = [False] * len(self.tags)
+        for t in self.texts:
+            if t and t[1].strip():
+                e = t[0]
+                while self.tags[e] in INLINE:
+                    e = self.parents[e]
+                out[e] = True
+        return out
 
-def hint(attributes: str) -> str:
-    found = {w for m in ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return "boiler" if found & BOILER_WORDS else "main" if found & MAIN_WORDS else "none"
+    def boilerplate(self) -> list[bool]:
+        """By element: whether its tag or words call it, or something around it, boilerplate."""
+        out = [False]
+        for e in range(1, len(self.tags)):
+            out.append(out[self.parents[e]] or self.tags[e] in BOILER_TAGS or self.hints[e] == "boiler")
+        return out
+
+
+def hint(tag: str, attributes: str) -> str:
+    found: set[str] = set()
+    for m in ATTRIBUTE.finditer(attributes):
+        whole = m[1] or m[2] or m[3] or ""
+        found.update(re.split(r"[^a-z]+", whole.lower()), re.split(r"[^a-z]+", BORDER.sub(" ", whole).lower()))
+    if found & BOILER_WORDS and tag not in WHOLE_TAGS:
+        return "boiler"
+    return "main" if found & MAIN_WORDS else "none"
 
 
 def table_of(page: Page, e: int) -> str:
@@ -185,9 +216,12 @@ class Model:
             elif tag in MAIN_TAGS:
                 prior = (0.95, 0.99)
             else:
-                prior = (0.2 if words == "main" else 0.05, 0.95)
+                prior = (0.5 if words == "main" else 0.05, 0.95)
             n = [[self.counts.get(("pass", table, p, s), 0) for s in (0, 1)] for p in (0, 1)]
-            self.passes[table] = tuple((n[p][1] + PRIOR * prior[p]) / (sum(n[p]) + PRIOR) for p in (0, 1))
+            learnt = [(n[p][1] + PRIOR * prior[p]) / (sum(n[p]) + PRIOR) for p in (0, 1)]
+            if tag in BOILER_TAGS or words == "boiler":
+                learnt = [min(x, most) for x, most in zip(learnt, BOILER_MOST)]
+            self.passes[table] = tuple(learnt)
         return self.passes[table]
 
     def weight(self, feature: str) -> float:
@@ -197,11 +231,22 @@ class Model:
             self.weights[feature] = max(-2.0, min(2.0, math.log(a / b)))
         return self.weights[feature]
 
+    def evidence(self, page: Page) -> list[float]:
+        """By element the log odds that its own features give: of blocks with text of their own, as what wraps them or is part of
+        their lines would count theirs again. Blocks side by side share the weight of one by their lengths, so however many there
+        are don't outweigh the tree; within boilerplate only what speaks against content counts."""
+        held = page.holding()
+        beside = [0] * len(page.tags)
+        for e in range(1, len(page.tags)):
+            beside[page.parents[e]] += page.whole[e] if held[e] else 0
+        own = [sum(map(self.weight, f)) / 2 * (page.whole[e] / max(1, beside[page.parents[e]]) if e else 1.0) if held[e] else 0.0 for e, f in enumerate(page.features())]
+        return [min(x, 0.0) if b else x for x, b in zip(own, page.boilerplate())]
+
     def marginals(self, page: Page, whole: float = -3.0) -> list[float]:
         """The log odds of content of each element, by messages up the tree and down again; whole are the log
         odds that a page as a whole is its article."""
         n = len(page.tags)
-        odds = [sum(map(self.weight, f)) / 2 for f in page.features()]
+        odds = self.evidence(page)
         passes = [self.passing(table_of(page, e)) for e in range(n)]
         up = [0.0] * n
         for e in range(n - 1, 0, -1):
@@ -223,10 +268,10 @@ def counts_of(page: Page) -> Counter:
     labels = page.labels()
     counts: Counter = Counter()
     if labels is not None:
-        for e, features in enumerate(page.features()):
+        for e, (features, held) in enumerate(zip(page.features(), page.holding())):
             if e:
                 counts["pass", table_of(page, e), int(labels[page.parents[e]]), int(labels[e])] += 1
-                for f in features:
+                for f in features if held else ():
                     counts["seen", f, int(labels[e])] += 1
     return counts
 

@@ -518,7 +518,7 @@ def test_html_marginals_against_enumeration():
         counts = {("pass", html.table_of(page, e), p, s): rng.randint(0, 5) for e in range(len(page.tags)) for p in (0, 1) for s in (0, 1)}
         counts |= {("seen", f, s): rng.randint(0, 9) for features in page.features() for f in features for s in (0, 1)}
         model = html.Model(counts)
-        evidence = [sum(map(model.weight, f)) / 2 for f in page.features()]
+        evidence = model.evidence(page)
         evidence[0] -= 3.0
         totals = [[0.0, 0.0] for _ in page.tags]
         for states in itertools.product((0, 1), repeat=len(page.tags)):

@@ -207,3 +207,72 @@ def test_counterfactual_penalty(spark):
     assert (scores(fair, insults) >= 0.3).mean() > 0.9
     left = [(t, x) for d, t, x in data if is_held_out(d) and x == 0]
     assert (scores(fair, [t for t, _ in left]) >= 0.3).mean() < 0.05
+
+
+PROSE = "<p>It was a long sentence of plain prose about nothing much at all, and another one, longer still, followed it to the very end.</p>"
+STORY = ["The article itself speaks at length about one thing and another, as articles do, until the reader has had enough of it.", "A second paragraph of the story goes on, with a <b>bold</b> word and a <a href=/x>link</a> in it.", "The third one ends it &amp; says so."]
+TOLD = ["The article itself speaks at length about one thing and another, as articles do, until the reader has had enough of it.", "A second paragraph of the story goes on, with a bold word and a link in it.", "The third one ends it & says so."]
+
+
+def page_shapes():
+    one, two, three = (f"<p>{s}</p>" for s in STORY)
+    return {
+        "aside within": f"<body><article>{one}<aside>{PROSE * 3}</aside>{two}{three}</article></body>",
+        "form within": f"<body><article>{one}{two}<form>{PROSE * 3}</form>{three}</article></body>",
+        "comments beside": f"<body><article>{one}{two}{three}</article><div class='comment-list'>{PROSE * 6}</div></body>",
+        "comments within": f"<body><main>{one}{two}{three}<section id=comments>{PROSE * 6}</section></main><footer>{PROSE}</footer></body>",
+        "notice before": f"<body><div class=cookieNotice>{PROSE * 3}</div><article>{one}{two}{three}</article></body>",
+        "plain blocks": f"<body class='has-sidebar'><div id=menu><a href=/a>Home</a> <a href=/b>More</a></div><div class=post>{one}{two}{three}</div><div class=sidebar>{PROSE * 4}</div></body>",
+        "list and table": f"<body><nav><ul><li><a href=/>Home</a></ul></nav><article>{one}<ul><li>{STORY[1]}</ul><table><tr><td>{STORY[2]}</table></article></body>",
+        "adverts between": f"<body><header><h1>Site</h1></header><article>{one}<div class='ad-slot'>{PROSE * 2}</div>{two}<div id=related>{PROSE}</div>{three}</article><footer>f</footer></body>",
+    }
+
+
+def test_html_trained_on_one_shape_drops_what_it_never_saw(spark):
+    """A model of the given pages, which know no asides, forms or comments: shapes it never saw, word for word."""
+    from ledgerloom.llm import html
+    from ledgerloom.llm.common import table
+
+    shapes = page_shapes()
+    model = html.trained(table(spark, "/root/testdata/sf0.001", "pages"))
+    assert model.counts
+    for m in (model, html.Model({})):
+        assert {k: html.main_text(h, m) for k, h in shapes.items()} == dict.fromkeys(shapes, "\n".join(TOLD))
+
+
+def test_html_labels_are_places(spark):
+    """Labels against a plain walk: inside the first kind of mark or not, whatever words say."""
+    from html.parser import HTMLParser
+
+    from ledgerloom.llm import html
+
+    class Walk(HTMLParser):
+        def __init__(self, wanted):
+            super().__init__()
+            self.wanted, self.open, self.labels = wanted, [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.open.append(tag)
+            self.labels.append(self.wanted in self.open)
+
+        def handle_endtag(self, tag):
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+    rng = random.Random(4)
+    tags = ["div", "section", "span", "article", "main", "aside", "nav", "b"]
+
+    def grow(depth):
+        if not depth:
+            return "text"
+        tag = rng.choice(tags)
+        return f"<{tag} class={rng.choice(['ad', 'post', 'x'])}>" + "".join(grow(rng.randrange(depth)) for _ in range(rng.randint(1, 3))) + f"</{tag}>"
+
+    marked = 0
+    for _ in range(200):
+        source = grow(5)
+        wanted = next((t for t in ("article", "main") if f"<{t} " in source), None)
+        walk = Walk(wanted)
+        walk.feed(source)
+        assert html.Page(source).labels() == (None if wanted is None else [False, *walk.labels])
+        marked += wanted is not None
+    assert marked > 50
