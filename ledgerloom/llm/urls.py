@@ -1,12 +1,13 @@
 """Operator 7: URL rules, and a Bloom filter cascade for a list of blocked sites. DataFrame functions alone.
 
-The cascade's first filter holds the listed keys; the second the keys of the corpus that the first takes
-for listed; the third the listed keys that the second takes for those; and so on until none is left.
-As the levels are made over all keys of the corpus, the membership of each of its keys is exact, and
-the pages are judged by array look-ups in the filters' words, without a join.
+The cascade's first filter holds the listed keys. Of the corpus's keys only those that it takes for listed are looked
+up in the list, which tells the listed ones from its false positives. The second filter holds those false positives,
+the third the listed keys that the second takes for them, and so on until none is left. As all keys of the corpus went
+through the first level, the membership of each is exact, and the pages are judged by array look-ups in the filters'
+words, without a join.
 
-The filters' words travel as literals, so a list may need MOST_WORDS of them at most (about eight million
-keys); a longer one is refused, as is one whose levels don't come to an end.
+The filters' words travel as literals, MOST_WORDS of them at once. A longer list is dealt by a hash into several
+cascades, each for its own keys and with its own look at the pages.
 
 Defined results: a null url, and one without "://", has an empty host and path, fits no rule and is
 allowed; equal keys count once; an empty table gives an empty result; other columns are ignored.
@@ -31,8 +32,8 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 HASHES = 4
 BITS_A_KEY = 16
 LEAST_BITS = 1024
-#: Words of 64 bits of all filters together that a plan carries as literals (16 MB).
-MOST_WORDS = 2_000_000
+#: Words of 64 bits of all filters together that a plan carries as literals (4 MB); a cascade of one list needs about a third more than its first level.
+MOST_WORDS = 500_000
 MOST_LEVELS = 20
 
 
@@ -71,16 +72,12 @@ def positions(key: Column, level: int, bits: int) -> list[Column]:
 class Filter:
     """One level: a Bloom filter as 64-bit words."""
 
-    def __init__(self, keys: DataFrame, level: int):
-        count = keys.count()
+    def __init__(self, keys: DataFrame, level: int, count: int):
         self.level, self.bits = level, -(-max(LEAST_BITS, BITS_A_KEY * count) // 64) * 64
-        self.words = self.bits // 64
-        if self.words > MOST_WORDS:
-            raise ValueError(f"{count} keys need more than the {MOST_WORDS} words that a plan may carry")
         at = F.explode(F.array(*positions(F.col("key"), level, self.bits)))
         word = keys.select(at.alias("p")).select(F.floor(F.col("p") / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int")).alias("b"))
-        own = {r["w"]: r["v"] for r in word.groupBy("w").agg(F.bit_or("b").alias("v")).collect()}
-        self.literal = ",".join(str(own.get(i, 0)) for i in range(self.words))
+        own = {r["w"]: r["v"] for r in word.groupBy("w").agg(F.bit_or("b").alias("v")).toLocalIterator()}
+        self.literal = ",".join(str(own.get(i, 0)) for i in range(self.bits // 64))
 
     def holds(self, key: Column) -> Column:
         words = F.split(F.lit(self.literal), ",").cast("array<bigint>")  # folded to one literal
@@ -95,21 +92,23 @@ class Filter:
 
 
 class Cascade:
-    """Exact membership over the keys of `universe` (key, listed), which must be materialised."""
-
-    def __init__(self, universe: DataFrame):
-        self.levels: list[Filter] = []
-        left = universe
-        for level in range(MOST_LEVELS):
-            listed = level % 2 == 0
-            self.levels.append(Filter(left.filter(F.col("listed") == listed), level))
-            if sum(f.words for f in self.levels) > MOST_WORDS:
-                raise ValueError(f"the cascade needs more than the {MOST_WORDS} words that a plan may carry")
-            # What is encoded is in the filter; of the rest only its false positives stay in question.
-            left = left.filter((F.col("listed") == listed) | self.levels[-1].holds(F.col("key")))
-            if left.filter(F.col("listed") != listed).isEmpty():
+    """Exact membership in listed (key, distinct) over the keys of `corpus` (key, distinct); both must be materialised."""
+
+    def __init__(self, corpus: DataFrame, listed: DataFrame, count: int):
+        self.levels = [Filter(listed, 0, count)]
+        # The only join: what the first level lets through, which is the listed keys of the corpus and few others.
+        taken = corpus.filter(self.levels[0].holds(F.col("key")))
+        left = written(taken.join(listed.withColumn("listed", F.lit(True)), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "taken")
+        for level in range(1, MOST_LEVELS + 1):
+            own = F.col("listed") == (level % 2 == 0)
+            sizes = left.agg(F.count_if(own).alias("own"), F.count_if(~own).alias("others")).first()
+            if not sizes["own"]:  # the level before took none for its own that isn't
                 return
-        raise RuntimeError(f"keys are still in question after {MOST_LEVELS} levels")
+            if level == MOST_LEVELS:
+                raise RuntimeError(f"keys are still in question after {MOST_LEVELS} levels")
+            self.levels.append(Filter(left.filter(own), level, sizes["own"]))
+            # What is encoded is in the filter; of the rest only its false positives stay in question.
+            left = left.filter(own | self.levels[-1].holds(F.col("key")))
 
     def holds(self, key: Column) -> Column:
         answer = F.lit(len(self.levels) % 2 == 1)
@@ -120,16 +119,24 @@ class Cascade:
 
 def judged(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict; listed has a column key of site names."""
-    base = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
-    hosts = base.select("host").distinct()
-    keys = hosts.select(F.explode(keys_of(F.col("host"))).alias("key")).distinct()
-    marks = listed.select("key").distinct().withColumn("listed", F.lit(True))
-    universe = written(keys.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
-    cascade = Cascade(universe)
+    url = F.col("url").cast("string")
+    base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.lit(False).alias("blocked"))
+    keys = written(base.select("host").distinct().select(F.explode(keys_of(F.col("host"))).alias("key")).distinct(), "keys")
+    marks = written(listed.select("key").filter("key is not null").distinct(), "listed")
+    parts = max(1, -(-4 * BITS_A_KEY * marks.count() // (3 * 64 * MOST_WORDS)))
+
+    def own(key: Column, part: int) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts)) == part
+
+    for part in range(parts):
+        mine = marks.filter(own(F.col("key"), part))
+        cascade = Cascade(keys.filter(own(F.col("key"), part)), mine, mine.count())
+        hit = F.exists(keys_of(F.col("host")), lambda key: own(key, part) & cascade.holds(key))
+        base = base.withColumn("blocked", F.col("blocked") | F.coalesce(hit, F.lit(False)))
+        if part < parts - 1:
+            base = written(base, "pages")  # so that a plan never carries the filters of two cascades
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    blocked = base.withColumn("blocked", F.exists(keys_of(F.col("host")), cascade.holds))
-    method = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
-    return blocked.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
+    return base.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
 
 
 def judge_pages(spark, sf_dir: str) -> DataFrame:

@@ -344,25 +344,38 @@ def test_urls(spark):
     assert urls.judged(pages.filter("false"), listed).count() == 0 and urls.judged(pages, listed.filter("false")).filter("host = 'www.bad.com'").first()["verdict"] == "allow"
 
 
+def cascade_keys(spark):
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = spark.range(0, 6000, 7).select(F.concat(F.lit("k"), "id").alias("key"))
+    return keys, listed, listed.count()
+
+
 def test_cascade_is_exact(spark, monkeypatch):
     monkeypatch.setattr(urls, "LEAST_BITS", 64)
     monkeypatch.setattr(urls, "BITS_A_KEY", 2)  # many false positives, so several levels
-    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
-    cascade = urls.Cascade(keys)
+    keys, listed, n = cascade_keys(spark)
+    cascade = urls.Cascade(keys, listed, n)
     assert len(cascade.levels) > 2
-    assert keys.filter(cascade.holds(F.col("key")) != F.col("listed")).count() == 0
-    monkeypatch.setattr(urls, "MOST_WORDS", 3)
-    with pytest.raises(ValueError):
-        urls.Cascade(keys)
+    assert keys.filter(cascade.holds(F.col("key")) != (F.substring("key", 2, 9).cast("int") % 7 == 0)).count() == 0
 
 
 def test_cascade_out_of_levels(spark, monkeypatch):
     monkeypatch.setattr(urls, "LEAST_BITS", 64)
     monkeypatch.setattr(urls, "BITS_A_KEY", 2)
     monkeypatch.setattr(urls, "MOST_LEVELS", 1)
-    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
     with pytest.raises(RuntimeError):
-        urls.Cascade(keys)
+        urls.Cascade(*cascade_keys(spark))
+
+
+def test_urls_with_a_list_for_several_cascades(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MOST_WORDS", 100)
+    listed = spark.range(1000).select(F.concat(F.lit("s"), "id", F.lit(".example")).alias("key"))
+    pages = spark.range(1500).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.s"), F.col("id") * 2, F.lit(".example/")).alias("url"))
+    written, made = urls.written, []
+    monkeypatch.setattr(urls, "written", lambda df, label: made.append(label) or written(df, label))
+    got = urls.judged(pages, listed)
+    assert got.filter((F.col("verdict") == "block") != (F.col("page_id") * 2 < 1000)).count() == 0 and got.count() == 1500
+    assert made.count("taken") == 4
 
 
 def test_urls_with_a_long_list(spark):
