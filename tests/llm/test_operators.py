@@ -318,6 +318,60 @@ def test_decontamination_against_aligning_every_pair(spark):
     assert kept == sorted(str(d) for d, _ in data if d not in {d for d, _ in found})
 
 
+#: Share of copies that are found, by kind of edit; README has the figures.
+EDITS = {
+    "every fourth": lambda rng, words, item: [rng.choice(words) if k % 4 == 3 else w for k, w in enumerate(item)],
+    "every third": lambda rng, words, item: [rng.choice(words) if k % 3 == 2 else w for k, w in enumerate(item)],
+    "random quarter": lambda rng, words, item: [rng.choice(words) if rng.random() < 0.25 else w for w in item],
+    "random three tenths": lambda rng, words, item: [rng.choice(words) if rng.random() < 0.3 else w for w in item],
+    "every sixth left out": lambda rng, words, item: [w for k, w in enumerate(item) if k % 6],
+    "half quoted": lambda rng, words, item: item[: len(item) // 2 - 2],
+}
+
+
+def test_decontamination_recall_by_edit(spark):
+    """150 items of 40 words for each kind of edit, each copy inside 120 other words: of the copies that score half or hold 13 words in a row."""
+    import numpy as np
+
+    rng = random.Random(23)
+    words = [f"w{i}" for i in range(5000)]
+    items = [[rng.choice(words) for _ in range(40)] for _ in range(150)]
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    data, owed = [], {}
+    for e, (name, edit) in enumerate(EDITS.items()):
+        for k, item in enumerate(items):
+            copy, doc = edit(rng, words, item), 1000 * e + k
+            text = [rng.choice(words) for _ in range(60)] + copy + [rng.choice(words) for _ in range(60)]
+            data.append((doc, " ".join(text)))
+            score = decontam.aligned(*(np.array([int(w[1:]) for w in x]) for x in (item, copy)))[0] / 80
+            if score >= 0.5 or name == "half quoted":
+                owed[doc] = (name, k)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(spark.createDataFrame(data, "doc_id long, text string"), bench).collect()}
+    assert all(item == doc % 1000 for doc, item in got)
+    for name in EDITS:
+        own = [(doc, k) for doc, (n, k) in owed.items() if n == name]
+        share = sum(pair in got for pair in own) / len(own)
+        print(name, len(own), share)
+        assert len(own) > 30 and share >= (0.9 if "random three" in name else 0.97), (name, share)
+
+
+def test_decontamination_with_a_common_stem(spark):
+    """A stem of all questions, in many texts: it pairs no text with an item, and copies are still found."""
+    rng = random.Random(29)
+    words = [f"w{i}" for i in range(3000)]
+    stem = "which of the following is the best answer to the question".split()
+    items = [stem + [rng.choice(words) for _ in range(20)] for _ in range(60)]
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    data = [(k, " ".join([rng.choice(words) for _ in range(30)] + stem + [rng.choice(words) for _ in range(30)])) for k in range(300)] + [(1000 + k, " ".join(items[k])) for k in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, bench).collect()} == {(1000 + k, k) for k in range(60)}
+    known = bench.withColumn("item", F.col("item_id"))
+    grams = decontam.item_grams(known)
+    rows_ = docs.withColumn("key", decontam.text_key(F.col("text")))
+    hits = decontam.shared_grams(rows_, decontam.filter_of(grams))
+    assert hits.join(decontam.rare_seeds(grams, hits), "gram").select("key", "item").distinct().count() < 200
+
+
 def test_alignment_against_a_plain_table():
     import numpy as np
 
