@@ -1,9 +1,10 @@
 """Operator 8: chat formatting by a template compiler.
 
 The template language has {{ expression }}, {# comment #}, {% for x in xs %}, {% if %}, {% elif %}, {% else %},
-{% set name = value %} and {% generation %} (the loss mask); blocks are closed by {% end... %}, and a minus
+{% set name = value %}, {% set name %}, {% raw %} and {% generation %} (the loss mask); loops may unpack and filter
+their items, and blocks are closed by {% end... %}, and a minus
 inside a mark takes the white space on its side. Expressions are literals, names, fields, indexes, slices,
-comparisons, `is` tests, and/or/not, arithmetic, ~, the conditional, filters after |, and a few functions
+mappings, comparisons, `is` tests, and/or/not, arithmetic, ~, the conditional, filters after |, and a few functions
 and string methods by name; there is no access to anything but the template's variables. They are read
 into a syntax tree, constant parts are folded, and the tree becomes Python closures that write the text
 and note where generation begins and ends.
@@ -14,7 +15,8 @@ conversation may be longer than a task's memory; others have their conversation
 Defined results: null text and role are empty; turns are ordered by turn, then role and text, so
 repeated turns each count; rows without conv_id are one conversation; an empty table gives an empty
 result; other columns are ignored. What isn't defined in a template prints nothing and is false;
-a field of it, or a loop variable outside a loop, is an error.
+a field of it, or a loop variable outside a loop, is an error. Every fault of a template, and a text or range
+that is too long, is a TemplateError.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import io
+import json
 import operator
 import re
 import tokenize
@@ -85,12 +88,44 @@ def failed(text: object) -> None:
     raise TemplateError(str(text))
 
 
+def bounded_range(*ends: object) -> range:
+    out = range(*ends)
+    return out if len(out) <= MOST_RANGE else failed(f"a range of {len(out)}")
+
+
+def replaced(text: str, old: str, new: str) -> str:
+    """Its length is known before it is made."""
+    if len(text) + text.count(old) * (len(new) - len(old)) > MOST_TEXT:
+        failed("a text that is too long")
+    return text.replace(old, new)
+
+
+def joined(values: object, between: str = "") -> str:
+    parts = [str(v) for v in values]
+    if sum(map(len, parts)) + len(str(between)) * len(parts) > MOST_TEXT:
+        failed("a text that is too long")
+    return str(between).join(parts)
+
+
+def by_field(values: object, name: str, test: str = "", other: object = None) -> list:
+    """The values whose field is true, or passes a test by name."""
+    tests = {"equalto": operator.eq, "eq": operator.eq, "==": operator.eq, "ne": operator.ne, "in": lambda a, b: a in b}
+    if test in tests:
+        return [v for v in values if tests[test](field(v, name), other)]
+    if test in TESTS:
+        return [v for v in values if TESTS[test](field(v, name))]
+    return [v for v in values if field(v, name)] if not test else failed(f"no test {test!r}")
+
+
 FILTERS: dict[str, Callable] = {
     "escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower, "length": len, "string": str, "first": lambda x: x[0], "last": lambda x: x[-1],
-    "default": lambda x, other="": other if x is UNDEFINED else x, "join": lambda xs, between="": str(between).join(map(str, xs)), "replace": lambda x, a, b: x.replace(a, b),
+    "default": lambda x, other="": other if x is UNDEFINED else x, "join": joined, "replace": replaced,
+    "tojson": lambda x: json.dumps(x, ensure_ascii=False), "selectattr": by_field, "rejectattr": lambda xs, *a: [x for x in xs if x not in by_field(xs, *a)], "list": list, "reverse": lambda x: x[::-1],
 }
-FUNCTIONS: dict[str, Callable] = {"raise_exception": failed, "namespace": lambda **own: own, "range": range}
+FUNCTIONS: dict[str, Callable] = {"raise_exception": failed, "namespace": lambda **own: own, "range": lambda *a: bounded_range(*a)}
 METHODS = frozenset("strip lstrip rstrip upper lower startswith endswith split title".split())
+#: Of mappings, as lists.
+MAPPING_METHODS: dict[str, Callable] = {"items": lambda x: [list(p) for p in x.items()], "keys": lambda x: list(x), "values": lambda x: list(x.values()), "get": lambda x, *a: x.get(*a)}
 TESTS: dict[str, Callable] = {
     "defined": lambda x: x is not UNDEFINED, "undefined": lambda x: x is UNDEFINED, "none": lambda x: x is None, "string": lambda x: isinstance(x, str), "mapping": lambda x: isinstance(x, dict),
     "number": lambda x: isinstance(x, (int, float)), "sequence": lambda x: isinstance(x, (list, tuple, str)), "iterable": lambda x: isinstance(x, (list, tuple, str, dict)),
@@ -107,8 +142,9 @@ BINARY = {
 class Value:
     """An expression: a closure over the variables, or a constant. uses: the variables and loop fields it looks at."""
 
-    def __init__(self, run: Callable[[dict], object] | None = None, constant: object = None, uses: frozenset[str] = frozenset()):
-        self.run, self.constant, self.uses = run, constant, uses
+    def __init__(self, run: Callable[[dict], object] | None = None, constant: object = None, uses: frozenset[str] = frozenset(), plain: str | None = None):
+        #: plain: the variable that the expression is, if it is nothing more.
+        self.run, self.constant, self.uses, self.plain = run, constant, uses, plain
 
     @property
     def fixed(self) -> bool:
@@ -118,13 +154,29 @@ class Value:
         return self.constant if self.run is None else self.run(scope)
 
 
+#: What an operation of a template may fail with.
+FAULTS = (TypeError, LookupError, AttributeError, ArithmeticError, RecursionError, ValueError)
+#: Characters of a text that an operation may make, while compiling and while rendering, and items of a range.
+MOST_CONSTANT, MOST_TEXT, MOST_RANGE = 1 << 16, 1 << 26, 100_000
+
+
+def made(function: Callable, values: list, most: int) -> object:
+    """function of values; any fault, and a text of more than `most` characters, is a TemplateError."""
+    try:
+        out = function(*values)
+    except TemplateError:
+        raise
+    except FAULTS as e:
+        raise TemplateError(f"{type(e).__name__}: {e}") from e
+    if isinstance(out, str) and len(out) > max(most, *[len(v) for v in values if isinstance(v, str)], 0):
+        raise TemplateError(f"a text of {len(out)} characters")
+    return out
+
+
 def folded(function: Callable, *parts: Value) -> Value:
     if all(p.fixed for p in parts):
-        try:
-            return Value(constant=function(*[p.constant for p in parts]))
-        except (TypeError, IndexError, KeyError, AttributeError) as e:
-            raise TemplateError(str(e)) from e
-    return Value(lambda scope: function(*[p(scope) for p in parts]), uses=frozenset().union(*[p.uses for p in parts]))
+        return Value(constant=made(function, [p.constant for p in parts], MOST_CONSTANT))
+    return Value(lambda scope: made(function, [p(scope) for p in parts], MOST_TEXT), uses=frozenset().union(*[p.uses for p in parts]))
 
 
 def field(owner: object, name: object) -> object:
@@ -144,19 +196,36 @@ NO_NAME = "not_defined"
 
 
 def expression(source: str) -> Value:
+    return compiled(parsed(source, "{}", "{} else " + NO_NAME))  # a conditional may lack its other side
+
+
+def parsed(source: str, *forms: str) -> ast.expr:
+    """The syntax tree of source put into the first of forms that makes it one."""
     try:
         parts = [(t.type, t.string) for t in tokenize.generate_tokens(io.StringIO(source.strip().replace("\n", " ")).readline)]
         if any(kind == tokenize.OP and text in STAND_INS.values() for kind, text in parts):
             raise TemplateError(f"not allowed in a template: {source!r}")
         changed = [(kind, STAND_INS.get(text, text) if kind == tokenize.OP else text) for kind, text in parts]
         plain = tokenize.untokenize(changed).strip()
-        try:
-            tree = ast.parse(plain, mode="eval").body
-        except SyntaxError:
-            tree = ast.parse(f"{plain} else {NO_NAME}", mode="eval").body  # a conditional may lack its other side
-    except (SyntaxError, tokenize.TokenError) as e:
+        for form in forms[:-1]:
+            try:
+                return ast.parse(form.replace("{}", plain), mode="eval").body
+            except SyntaxError:
+                continue
+        return ast.parse(forms[-1].replace("{}", plain), mode="eval").body
+    except (SyntaxError, tokenize.TokenError, RecursionError, MemoryError) as e:
         raise TemplateError(f"not an expression: {source!r}") from e
-    return compiled(tree)
+
+
+def loop_of(source: str) -> tuple[list[str], Value, list[Value]]:
+    """The variables, the items and the conditions of `x in xs`, `k, v in xs` and `x in xs if condition`."""
+    tree = parsed(source, "[0 for {}]")
+    match tree:
+        case ast.ListComp(generators=[ast.comprehension(target=ast.Name(id=name), iter=items, ifs=tests, is_async=0)]):
+            return [name], compiled(items), [compiled(t) for t in tests]
+        case ast.ListComp(generators=[ast.comprehension(target=ast.Tuple(elts=elts), iter=items, ifs=tests, is_async=0)]) if all(isinstance(e, ast.Name) for e in elts):
+            return [e.id for e in elts], compiled(items), [compiled(t) for t in tests]
+    raise TemplateError(f"not a loop: {source!r}")
 
 
 def filtered(value: Value, node: ast.expr) -> Value:
@@ -178,7 +247,7 @@ def compiled(node: ast.expr) -> Value:
         case ast.Name(id=name) if name in NAMED:
             return Value(constant=NAMED[name])
         case ast.Name(id=name):
-            return Value(lambda scope: scope.get(name, UNDEFINED), uses=frozenset({name}))
+            return Value(lambda scope: scope.get(name, UNDEFINED), uses=frozenset({name}), plain=name)
         case ast.Attribute(value=owner, attr=name) if not name.startswith("_"):
             out = folded(field, compiled(owner), Value(constant=name))
             return Value(out.run, out.constant, out.uses | {f"loop.{name}"}) if isinstance(owner, ast.Name) and owner.id == "loop" else out
@@ -188,6 +257,8 @@ def compiled(node: ast.expr) -> Value:
             return folded(field, compiled(owner), compiled(key))
         case ast.List(elts=elts) | ast.Tuple(elts=elts):
             return folded(lambda *xs: list(xs), *map(compiled, elts))
+        case ast.Dict(keys=keys, values=values) if all(keys):
+            return folded(lambda *xs: dict(zip(xs[: len(keys)], xs[len(keys) :])), *map(compiled, (*keys, *values)))
         case ast.BinOp(left=left, op=ast.Pow(), right=right):
             return filtered(compiled(left), right)
         case ast.BinOp(left=left, op=op, right=right) if type(op) in BINARY:
@@ -212,7 +283,9 @@ def compiled(node: ast.expr) -> Value:
         case ast.Call(func=ast.Name(id=name), args=args, keywords=keywords) if name in FUNCTIONS and (name == "namespace" or not keywords):
             parts, named = [compiled(a) for a in args], {k.arg: compiled(k.value) for k in keywords}
             uses = frozenset({name}).union(*[p.uses for p in (*parts, *named.values())])
-            return Value(lambda scope: FUNCTIONS[name](*[p(scope) for p in parts], **{k: v(scope) for k, v in named.items()}), uses=uses)
+            return Value(lambda scope: made(lambda *own: FUNCTIONS[name](*own, **{k: v(scope) for k, v in named.items()}), [p(scope) for p in parts], MOST_TEXT), uses=uses)
+        case ast.Call(func=ast.Attribute(value=owner, attr=name), args=args, keywords=[]) if name in MAPPING_METHODS:
+            return folded(lambda x, *rest: MAPPING_METHODS[name](x, *rest) if isinstance(x, dict) else failed(f"{name} is for mappings"), compiled(owner), *map(compiled, args))
         case ast.Call(func=ast.Attribute(value=owner, attr=name), args=args, keywords=[]) if name in METHODS:
             return folded(lambda x, *rest: getattr(x, name)(*rest) if isinstance(x, str) else failed(f"{name} is for texts"), compiled(owner), *map(compiled, args))
     raise TemplateError(f"not allowed in a template: {ast.unparse(node)}")
@@ -266,13 +339,21 @@ def loop_fields(i: int, n: int | None = None) -> dict:
     return {"index0": i, "index": i + 1, "first": i == 0} | ({} if n is None else {"last": i == n - 1, "length": n})
 
 
-def looped(name: str, source: Value, body: Step) -> Step:
+def looped(names: list[str], source: Value, tests: list[Value], body: Step) -> Step:
     def run(scope: dict, out: Output) -> None:
         items = source(scope)
-        if not isinstance(items, (list, tuple, range)):
+        if not isinstance(items, (list, tuple, range, dict)):
             raise TemplateError(f"a loop over {type(items).__name__}")
-        for i, item in enumerate(items):
-            body(scope | {name: item, "loop": loop_fields(i, len(items))}, out)
+        bound = []
+        for item in items:
+            values = [item] if len(names) == 1 else item
+            if len(names) > 1 and not (isinstance(values, (list, tuple)) and len(values) == len(names)):
+                raise TemplateError(f"no {len(names)} values in {item!r}")
+            own = dict(zip(names, values))
+            if all(t(scope | own) for t in tests):
+                bound.append(own)
+        for i, own in enumerate(bound):
+            body(scope | own | {"loop": loop_fields(i, len(bound))}, out)
 
     return run
 
@@ -318,24 +399,41 @@ def assigned(name: str, part: str | None, value: Value) -> Step:
     return run
 
 
-TAG = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}|\{#(-?)(?:.*?)(-?)#\}", re.S)
+def captured(name: str, body: Step) -> Step:
+    """The text of a block as a variable."""
+
+    def run(scope: dict, out: Output) -> None:
+        own = Output()
+        body(scope, own)
+        if own.spans:
+            raise TemplateError("a generation inside a set block")
+        scope[name] = "".join(own.parts)
+
+    return run
+
+
+#: A raw block, an expression, a tag or a comment; what stands in quotes closes none.
+_INNER = r"""(?:[^'"%}]|'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|%(?!\})|\}(?!\}))*?"""
+TAG = re.compile(rf"\{{%(-?)\s*raw\s*(?:-?)%\}}(?P<raw>.*?)\{{%-?\s*endraw\s*(-?)%\}}|\{{\{{(-?)(?P<value>{_INNER})(-?)\}}\}}|\{{%(-?)(?P<tag>{_INNER})(-?)%\}}|\{{#(-?)(?:.*?)(-?)#\}}", re.S)
 
 
 def tokens_of(source: str) -> list[tuple[str, str]]:
     """(text, value or tag, its content); white space beside a mark with a minus is left out."""
     out: list[tuple[str, str]] = []
     at, strip = 0, False
-    for m in TAG.finditer(source):
-        text = source[at : m.start()]
-        before, after = m[1] or m[4] or m[7], m[3] or m[6] or m[8]
+    for m in [*TAG.finditer(source), None]:
+        text = source[at : m.start() if m else len(source)]
+        if re.search(r"\{\{|\{%", text):
+            raise TemplateError(f"a mark without an end: {text!r}")
+        if m is None:
+            return [*out, ("text", text.lstrip() if strip else text)]
+        minus = [g for i, g in enumerate(m.groups(), 1) if g is not None and i not in (TAG.groupindex[k] for k in ("raw", "value", "tag"))]
         text = text.lstrip() if strip else text
-        out.append(("text", text.rstrip() if before else text))
-        if m[2] is not None:
-            out.append(("value", m[2]))
-        elif m[5] is not None:
-            out.append(("tag", m[5].strip()))
-        at, strip = m.end(), bool(after)
-    out.append(("text", source[at:].lstrip() if strip else source[at:]))
+        out.append(("text", text.rstrip() if minus[0] else text))
+        for kind in ("raw", "value", "tag"):
+            if m[kind] is not None:
+                out.append(("text" if kind == "raw" else kind, m[kind].strip() if kind == "tag" else m[kind]))
+        at, strip = m.end(), bool(minus[-1])
     return out
 
 
@@ -381,11 +479,14 @@ def compile_template(source: str) -> Template:
                 steps.append(str(value.constant) if value.fixed else lambda scope, out, v=value: out.write(str(v(scope))))
             elif word in ends:
                 return steps, text
-            elif word == "for" and (m := re.fullmatch(r"for\s+([A-Za-z_]\w*)\s+in\s+(.+)", text, re.S)):
-                items, outer, uses = value_of(m[2]), uses, set()
+            elif word == "for":
+                names, items, tests = loop_of(text[3:])
+                uses.update(items.uses, *[t.uses for t in tests])
+                outer, uses = uses, set()
                 body = sequence(block("endfor")[0])
-                step = looped(m[1], items, body)
-                step.turns = (m[1], body) if m[2].strip() == "messages" and uses <= OF_ONE_TURN | {m[1]} else None
+                step = looped(names, items, tests, body)
+                whole = len(names) == 1 and not tests and items.plain == "messages"
+                step.turns = (names[0], body) if whole and uses <= OF_ONE_TURN | set(names) else None
                 uses = outer | uses
                 steps.append(step)
             elif word == "if":
@@ -400,6 +501,9 @@ def compile_template(source: str) -> Template:
                 steps.append(chosen(branches))
             elif word == "generation":
                 steps.append(masked(sequence(block("endgeneration")[0])))
+            elif word == "set" and re.fullmatch(r"set\s+[A-Za-z_]\w*", text):
+                uses.add("set")
+                steps.append(captured(text.split()[1], sequence(block("endset")[0])))
             elif word == "set" and (m := re.fullmatch(r"set\s+([A-Za-z_]\w*)(?:\.([A-Za-z]\w*))?\s*=\s*(.+)", text, re.S)):
                 uses.add("set")
                 steps.append(assigned(m[1], m[2], value_of(m[3])))
@@ -547,3 +651,20 @@ def with_probe(conversations: DataFrame) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = conversations.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
+
+
+_ESCAPED = r"regexp_replace(regexp_replace({}, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*(/?INST|/?SYS|/?ROLE|TEXT)\])', '[\\\1', 'g')"
+ORACLE = f"""
+with said as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized as (
+    select *, length({_ESCAPED.format("text")}) + case role when 'user' then 15 when 'assistant' then 5 when 'system' then 13
+        else 21 + length({_ESCAPED.format("role")}) end as chars
+    from said)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    (3 + sum(chars))::bigint as formatted_chars
+from sized group by conv_id
+"""

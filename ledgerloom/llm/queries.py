@@ -81,6 +81,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_urls": urls.ORACLE,
+    "op8_chat": chat.ORACLE,
     "op9_licenses": licenses.oracle(),
     "op12_audit": audit.ORACLE,
     "op13_lexical": lexical.ORACLE,

@@ -276,3 +276,35 @@ def test_html_labels_are_places(spark):
         assert html.Page(source).labels() == (None if wanted is None else [False, *walk.labels])
         marked += wanted is not None
     assert marked > 50
+
+
+def test_template_language():
+    from ledgerloom.llm import chat
+
+    messages = [{"role": r, "text": t, "content": t} for r, t in (("system", "s"), ("user", "u"), ("assistant", "w"), ("user", "v"))]
+    cases = {
+        "{% for m in messages if m.role == 'user' %}{{ loop.index }}{{ m.text }}{% if loop.last %}.{% endif %};{% endfor %}": "1u;2v.;",
+        "{% for m in messages %}{% for x in messages if x.text == m.text %}{{ x.text }};{% endfor %}|{% endfor %}": "s;|u;|w;|v;|",
+        "{% for k, v in {'a': 1, 'b': 2}.items() %}{{ k }}={{ v }} {% endfor %}": "a=1 b=2 ",
+        "{% for k in {'a': 1} %}{{ k }}{% endfor %}": "a",
+        "{% set x %}<{{ messages[1].text }}>{% endset %}{{ x }}{{ x }}": "<u><u>",
+        "a {% raw %}{{ no }} {% if %}{% endraw %} b": "a {{ no }} {% if %} b",
+        "a {%- raw %} x {% endraw -%} b": "a x b",
+        "{{ '}}' }}{{ \"%}\" }}{{ '{{' }}": "}}%}{{",
+        "{{ {'a': [1, 'é']} | tojson }}": '{"a": [1, "é"]}',
+        "{{ messages | selectattr('role', 'equalto', 'user') | length }}{{ messages | rejectattr('role', '==', 'user') | list | length }}{{ messages | selectattr('none') | length }}": "220",
+        "{{ {'a': 1}.get('b', 7) }}{{ {'a': 1}['a'] }}": "71",
+        "{{ range(3) | join('-') }}{{ 'aXa' | replace('a', 'b') }}": "0-1-2bXb",
+        "x{# {{ no }} #}y": "xy",
+    }
+    assert {k: chat.compile_template(k)(messages)[0] for k in cases} == cases
+    wrong = [
+        "{{ 1 // 0 }}", "{{ 1 % 0 }}", "{% for x in range(1000000000) %}{% endfor %}", "{{ 'a' " + "| replace('a', 'aaaaaaaaaa')" * 6 + " }}", "{% for x in 5 %}{% endfor %}", "{% for a, b in [1] %}{% endfor %}",
+        "{{ messages[0].text + 1 }}", "{{ 'a", "{% if %}x{% endif %}", "{% for m in %}{% endfor %}", "{{ messages | selectattr('role', 'no', 1) | length }}", "{{ 'x'.__class__ }}", "{{ ().__class__ }}", "{% endfor %}", "{{ 'a'.items() }}", "{{ " + "(" * 3000 + "1" + ")" * 3000 + " }}",
+        "{% set n = namespace(t='ab') %}{% for i in range(40) %}{% set n.t = n.t | replace('a', 'aa') %}{% endfor %}",
+    ]
+    for source in wrong:
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(source)(messages)
+    assert chat.compile_template("{% for m in messages if m.role == 'user' %}{{ m.text }}{% endfor %}").by_turn is None
+    assert chat.compile_template(chat.TEMPLATE).by_turn
