@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark then deletes the shuffle files of a query when it has ended, so they don't add up over steps.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: The tables written inside each scratch() that is open.
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Where none is set, a local folder, which only a local master's tasks all see."""
+    """The cluster's shared folder, spark.checkpoint.dir. Where none is set, a local one, which only a local master's tasks all see."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         if not spark.sparkContext.master.startswith("local"):
@@ -20,8 +28,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again."""
+    """df as a Parquet table in the shared folder, read again: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go when it ends; for work whose results have been stored by then, such as a micro-batch."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _open.pop():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
