@@ -434,7 +434,6 @@ def tokens_of(source: str) -> list[tuple[str, str]]:
             if m[kind] is not None:
                 out.append(("text" if kind == "raw" else kind, m[kind].strip() if kind == "tag" else m[kind]))
         at, strip = m.end(), bool(minus[-1])
-    return out
 
 
 class Template:

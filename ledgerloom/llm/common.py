@@ -1,12 +1,13 @@
-"""Shared helpers: reading tables, and tables written to the folder all executors share."""
+"""Shared helpers: reading tables, names; tables in the shared folder are the library's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.sources.shared import shared_dir, written
+
+__all__ = ["SPACES", "SPACE_CLASS", "free_name", "shared_dir", "table", "written"]
+
 #: ASCII white space as the word pattern [^\x20\x09-\x0D]+ leaves it out.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[ \\t\\n\\x0B\\f\\r]"
@@ -16,40 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir. Where none is set, a local one, which only a local master's tasks all see."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, or with underscores before it as long as df has a column of that name in any case."""
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
         name = "_" + name
     return name
-
-
-#: Spark then deletes the shuffle files of a query when it has ended, so they don't add up over steps.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
