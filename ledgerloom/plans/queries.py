@@ -291,41 +291,43 @@ def first_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files written and read back -------------------------------------------------------------------
 
 
+RULES = (classify.Rule(r"red widget\b", "Red Widget Company", None), classify.Rule("comisión", None, "Gastos bancarios"), classify.Rule(r"bolt \d+", "Bolt", "Tornillos"))
+USER_RULES = oracle(f"""AND keyed AS (SELECT mov_id, {CANON.format("description")} AS k FROM movements),
+r AS (SELECT *, CASE WHEN regexp_matches(k, 'RED WIDGET\\b') THEN 1 WHEN contains(k, 'COMISION') THEN 2 WHEN regexp_matches(k, 'BOLT \\d+') THEN 3 END AS rule FROM keyed)
+SELECT mov_id, CASE rule WHEN 1 THEN 'Red Widget Company' WHEN 3 THEN 'Bolt' END AS rule_party, CASE rule WHEN 2 THEN 'Gastos bancarios' WHEN 3 THEN 'Tornillos' END AS rule_concept FROM r""")
+
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-@query("s1_statement_files", """SELECT source, row_number() OVER (ORDER BY source) - 1 AS doc_seq, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS breaks
-  FROM documents GROUP BY source""")
+@query("s1_statement_files", """SELECT source, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS breaks, true AS in_order FROM documents GROUP BY source""")
 def statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each source with a page for each document, below two paths of which one holds the other."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    pages = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    """Documents as pages of files of 200 each, in a folder by source, read below two paths of which one holds the other."""
     folder = new_folder(spark, "texts")
-    docs.groupBy("source").agg(F.array_join(pages, files.PAGE_BREAK).alias("value")).write.partitionBy("source").option("lineSep", "\f").text(folder)
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "text").write.partitionBy("source").option("lineSep", files.PAGE_BREAK).option("maxRecordsPerFile", 200).text(folder)
     read = files.read_statements(spark, [folder, f"{folder}/source=src0"], "*.txt")
     body = F.filter("pages", lambda x: x != "")  # the writer ends a file with a page break
     chars = F.aggregate(body, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     breaks = F.aggregate(body, F.lit(0).cast("long"), lambda a, x: a + F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
-    place = F.row_number().over(Window.orderBy("doc_seq")).cast("long") - 1  # a row for each file
-    return read.select(F.regexp_extract("file", "source=([^/]+)/", 1).alias("source"), place.alias("doc_seq"), F.size(body).cast("long").alias("pages"), chars.alias("chars"), breaks.alias("breaks"))
+    each = read.select(F.regexp_extract("file", "source=([^/]+)/", 1).alias("source"), F.size(body).cast("long").alias("pages"), chars.alias("chars"), breaks.alias("breaks"), (F.col("doc_seq") >= 0).alias("in_order"))
+    return each.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "breaks")], F.bool_and("in_order").alias("in_order"))
 
 
-#: Ledgers of 25 owners in three dialects: separators, titles, sides or signed amounts, commas or points.
+#: Ledgers, each of 50 accounts, in three dialects: separators, titles, sides or signed amounts, commas or points.
 LEDGER_FILES = """
 SELECT owner, CASE owner % 3 WHEN 0 THEN 'Fecha;Comprobante;Descripcion;Debito;Credito' WHEN 1 THEN 'Date,Detalle,Valor' ELSE concat_ws(chr(9), 'FECHA', 'GLOSA', 'NUMERO', 'MONTO') END AS titles, o_orderkey AS id,
   CASE owner % 3
     WHEN 0 THEN concat_ws(';', day, concat('CE-', o_orderkey), 'Venta; con signo', CASE WHEN amount >= 0 THEN points ELSE '' END, CASE WHEN amount < 0 THEN points ELSE '' END)
     WHEN 1 THEN concat_ws(',', day, concat('"Nota, ', o_orderkey, '"'), concat('"', CASE WHEN amount < 0 THEN '-' ELSE '' END, commas, '"'))
     ELSE concat_ws(chr(9), day, 'Glosa', o_orderkey, concat(CASE WHEN amount < 0 THEN '-' ELSE '' END, commas)) END AS line
-FROM (SELECT o_custkey % 25 AS owner, o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'sin fecha' ELSE date_format(o_orderdate, 'dd/MM/yyyy') END AS day, CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS amount,
+FROM (SELECT CAST(floor(o_custkey / 50) AS BIGINT) AS owner, o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'sin fecha' ELSE date_format(o_orderdate, 'dd/MM/yyyy') END AS day, CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS amount,
   format_number(o_totalprice, 2) AS commas, translate(format_number(o_totalprice, 2), ',.', '.,') AS points FROM orders)
 """
 
 
-@query("s4_ledger_files", """SELECT o_custkey % 25 AS owner, row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderkey) + 1 AS row, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderdate AS DATE) END AS date,
-  CASE o_custkey % 25 % 3 WHEN 0 THEN 'Venta; con signo' WHEN 1 THEN 'Nota, ' || o_orderkey ELSE 'Glosa' END AS description, CAST(CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS DECIMAL(18,2)) AS amount,
-  CASE o_custkey % 25 % 3 WHEN 0 THEN 'CE-' || o_orderkey WHEN 2 THEN CAST(o_orderkey AS VARCHAR) END AS reference FROM orders QUALIFY o_orderkey % 17 <> 0""")
+@query("s4_ledger_files", """SELECT o_custkey // 50 AS owner, row_number() OVER (PARTITION BY o_custkey // 50 ORDER BY o_orderkey) + 1 AS row, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderdate AS DATE) END AS date,
+  CASE o_custkey // 50 % 3 WHEN 0 THEN 'Venta; con signo' WHEN 1 THEN 'Nota, ' || o_orderkey ELSE 'Glosa' END AS description, CAST(CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS DECIMAL(18,2)) AS amount,
+  CASE o_custkey // 50 % 3 WHEN 0 THEN 'CE-' || o_orderkey WHEN 2 THEN CAST(o_orderkey AS VARCHAR) END AS reference FROM orders QUALIFY o_orderkey % 17 <> 0""")
 def ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of ledgers in three dialects, read in one job."""
     standins.views(spark, sf_dir)
@@ -337,17 +339,16 @@ def ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select(F.regexp_extract("file", r"owner=(\d+)/", 1).cast("long").alias("owner"), "row", "date", "description", "amount", "reference")
 
 
-@query("s7_rules_file", """SELECT row_number() OVER (ORDER BY n_nationkey) AS rule_no, n_name AS pattern, 'Tercero ' || n_nationkey AS party, CASE WHEN n_nationkey % 2 = 0 THEN 'Concepto' END AS concept FROM nation""")
+@query("s7_rules_file", USER_RULES)
 def rules_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules with a title, comments and one that can't be compiled, in the order of the file."""
-    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey")
-    lines = rows.select(F.concat_ws(";", "n_name", F.concat(F.lit("Tercero "), "n_nationkey"), F.when(F.col("n_nationkey") % 2 == 0, "Concepto").otherwise("")).alias("line"))
-    told = lines.agg(F.concat(F.lit("patron;tercero;concepto\n# nota\n(;sin;cierre\n"), F.array_join(F.collect_list("line"), "\n")).alias("value"))
+    """Rules from a file with a title, comments and one that can't be compiled, as they are found in the movements."""
     folder = new_folder(spark, "rules")
-    told.coalesce(1).write.text(folder)
+    lines = ["patron;tercero;concepto", "# nota", "(;sin;cierre", *[f"{r.pattern};{r.party or ''};{r.concept or ''}" for r in RULES]]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(folder)
     rules, wrong = files.read_rules(spark, folder)
     assert len(wrong) == 1, wrong
-    return spark.createDataFrame([(k, r.pattern, r.party, r.concept) for k, r in enumerate(rules, 1)], "rule_no long, pattern string, party string, concept string")
+    keyed = standins.movements(spark, sf_dir).select("mov_id", text.canon(F.col("description")).alias("_key"))
+    return classify.with_rules(keyed, rules).select("mov_id", F.col("_rule_party").alias("rule_party"), F.col("_rule_concept").alias("rule_concept"))
 
 
 @query("s9_csv_sink", oracle(f"SELECT CAST(mov_id AS VARCHAR) AS mov_id, bank, strftime(date, '%Y-%m-%d') AS date, {AMOUNT_TEXT.format('amount')} AS amount, CASE WHEN balance IS NOT NULL THEN {AMOUNT_TEXT.format('balance')} END AS balance, description FROM movements"))
@@ -469,12 +470,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified_rows(spark, sf_dir).select("mov_id", "concept", "party")
 
 
-RULES = (classify.Rule(r"red widget\b", "Red Widget Company", None), classify.Rule("comisión", None, "Gastos bancarios"), classify.Rule(r"bolt \d+", "Bolt", "Tornillos"))
-
-
-@query("c3_user_rules", oracle(f"""AND keyed AS (SELECT mov_id, {CANON.format("description")} AS k FROM movements),
-r AS (SELECT *, CASE WHEN regexp_matches(k, 'RED WIDGET\\b') THEN 1 WHEN contains(k, 'COMISION') THEN 2 WHEN regexp_matches(k, 'BOLT \\d+') THEN 3 END AS rule FROM keyed)
-SELECT mov_id, CASE rule WHEN 1 THEN 'Red Widget Company' WHEN 3 THEN 'Bolt' END AS rule_party, CASE rule WHEN 2 THEN 'Gastos bancarios' WHEN 3 THEN 'Tornillos' END AS rule_concept FROM r"""))
+@query("c3_user_rules", USER_RULES)
 def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     party, concept = classify.rule_values(text.canon(F.col("description")), RULES)
     return standins.movements(spark, sf_dir).select("mov_id", party.alias("rule_party"), concept.alias("rule_concept"))
@@ -674,22 +670,22 @@ def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.parsed(printed.plain_statements(spark, sf_dir))[1].select(*columns)
 
 
-@query("p11_diagnostics", """SELECT CAST(o_custkey % 25 AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderkey) AS rank, 'Pendiente ' || format('{:,.2f}', CAST(o_totalprice AS DOUBLE)) AS line FROM orders
-  QUALIFY row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderkey) <= 30""")
+@query("p11_diagnostics", """SELECT CAST(o_custkey // 50 AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY o_custkey // 50 ORDER BY o_orderkey) AS rank, 'Pendiente ' || format('{:,.2f}', CAST(o_totalprice AS DOUBLE)) AS line FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey // 50 ORDER BY o_orderkey) <= 30""")
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of statements without a single day, the first 30 lines that hold an amount; the limit is the feature."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 25).alias("owner"), "o_orderkey", F.concat(F.lit("  Pendiente      "), F.format_number("o_totalprice", 2)).alias("line"))
+    """Of statements of 50 accounts each, without a single day, the first 30 lines that hold an amount; the limit is the feature."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.floor(F.col("o_custkey") / 50).alias("owner"), "o_orderkey", F.concat(F.lit("  Pendiente      "), F.format_number("o_totalprice", 2)).alias("line"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"])
     docs = rows.groupBy("owner").agg(F.array(F.array_join(lines, "\n")).alias("pages")).select(F.col("owner").cast("string").alias("doc_id"), F.col("owner").cast("int").alias("doc_seq"), F.lit("in/x.txt").alias("file"), "pages")
     return statements.diagnostics(statements.parsed(docs)[2], 30).select("doc_id", F.col("rank").cast("long").alias("rank"), "line")
 
 
-@query("u4_inbox", """WITH rows_ AS (SELECT o_custkey % 25 AS owner, CAST(o_orderdate AS DATE) + INTERVAL 300 MONTH AS day, CAST(-1000 - o_custkey % 7 AS DECIMAL(18,2)) AS amount, o_orderkey AS id FROM orders),
+@query("u4_inbox", """WITH rows_ AS (SELECT o_custkey // 50 AS owner, CAST(o_orderdate AS DATE) + INTERVAL 300 MONTH AS day, CAST(-1000 - o_custkey % 7 AS DECIMAL(18,2)) AS amount, o_orderkey AS id FROM orders),
 counts AS (SELECT owner, day, amount, count(*) FILTER (id % 10 < 7) AS a, count(*) FILTER (id % 10 >= 5) AS b FROM rows_ GROUP BY ALL)
 SELECT lpad(CAST(owner AS VARCHAR), 10, '0') AS account, CAST(day AS DATE) AS date, amount, greatest(a, b) AS n FROM counts""")
 def inbox_of_two_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements of 25 accounts arrive in a folder, then later ones that overlap them; the movements, overlaps counted once."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 25).alias("owner"), F.add_months(F.col("o_orderdate").cast("date"), 300).alias("day"), (1000 + F.col("o_custkey") % 7).alias("size"), F.col("o_orderkey").alias("id"))
+    """Statements, each of 50 customers, arrive in a folder, then later ones that overlap them; the movements, overlaps counted once."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.floor(F.col("o_custkey") / 50).alias("owner"), F.add_months(F.col("o_orderdate").cast("date"), 300).alias("day"), (1000 + F.col("o_custkey") % 7).alias("size"), F.col("o_orderkey").alias("id"))
     line = F.concat(F.date_format("day", "yyyy/MM/dd"), F.lit("   Cuota de manejo        "), F.format_number("size", 2))
     folder, table, marks = (new_folder(spark, label) for label in ("inbox", "inbox_table", "inbox_marks"))
     for turn, own in enumerate(("id % 10 < 7", "id % 10 >= 5")):
