@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -241,6 +242,19 @@ def of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.in_days(standins.movements(spark, sf_dir), low, high).select("mov_id", "bank", "account", "date", "amount")
 
 
+#: Days as a user states them.
+SPANS = {"month": {"month": dates.month_from_text("03/1996")}, "named": {"month": dates.month_from_text("marzo de 1996")}, "year": {"year": 1997}, "from": {"start": "1998-06"}, "until": {"end": "1995-02"}, "between": {"start": "15/01/1996", "end": "1996-02-20"}}
+
+
+@query("x19_spans", oracle("""SELECT span, count(*) AS n, CAST(min(date) AS DATE) AS low, CAST(max(date) AS DATE) AS high FROM movements JOIN (VALUES ('month', DATE '1996-03-01', DATE '1996-03-31'), ('named', DATE '1996-03-01', DATE '1996-03-31'),
+  ('year', DATE '1997-01-01', DATE '1997-12-31'), ('from', DATE '1998-06-01', DATE '9999-01-01'), ('until', DATE '0001-01-01', DATE '1995-02-28'), ('between', DATE '1996-01-15', DATE '1996-02-20')) s(span, a, b) ON date BETWEEN a AND b GROUP BY span"""))
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months, a year and days in several spellings."""
+    own = standins.movements(spark, sf_dir).select("date")
+    counted = [filters.in_days(own, *dates.date_range(**told)).agg(F.count("*").alias("n"), F.min("date").alias("low"), F.max("date").alias("high")).select(F.lit(name).alias("span"), "*") for name, told in SPANS.items()]
+    return functools.reduce(DataFrame.unionByName, counted)
+
+
 @query("f2_banks", oracle(f"{SMALL} WHERE bank IN ('BUILDING', 'FURNITURE')"))
 def of_banks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.of_banks(standins.movements(spark, sf_dir), ["building", "  Furniture"]).select("mov_id", "bank", "account", "date", "amount")
@@ -616,6 +630,15 @@ def swapped_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.signs_look_swapped(bank, ledger, reconcile.matched(bank, ledger))
 
 
+@query("j8_turned_signs", oracle("AND /* bank_side ledger_side */ turned_side AS (SELECT * REPLACE (CAST(-amount AS DECIMAL(18,2)) AS amount) FROM ledger_side), " + WALK.replace("ledger_side", "turned_side").lstrip().removeprefix("AND ") + """SELECT *, matched < 0.5 * movements AND turned > matched AS swapped FROM (
+  SELECT (SELECT count(*) FROM bank_side) AS movements, (SELECT count(*) FROM walk) AS matched, (SELECT count(*) FROM bank_side m WHERE EXISTS (SELECT 1 FROM turned_side l WHERE l.amount = -m.amount)) AS turned)"""))
+def turned_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8 with a ledger whose signs are the other way round."""
+    bank, ledger = standins.sides(spark, sf_dir)
+    ledger = ledger.withColumn("amount", (-F.col("amount")).cast("decimal(18,2)"))
+    return reconcile.signs_look_swapped(bank, ledger, reconcile.matched(bank, ledger))
+
+
 @query("u3_reconciliation", oracle(ITEMS + "SELECT * FROM items"))
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three sections, each in the order of its dates."""
