@@ -2,6 +2,9 @@
 
 Each round is joins and partially aggregated minima over the links, written to the shared folder;
 hub vertices only make a join side that Spark may split. Nothing is gathered on the driver but counts.
+
+Defined results: a link of an id with itself or with null says nothing, and ids that have no other are not in the
+result; repeated links and either direction are the same; no links give an empty result.
 """
 
 from __future__ import annotations
