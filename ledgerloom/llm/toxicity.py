@@ -215,6 +215,13 @@ def fit_weights(rows: Rows, toxic: np.ndarray, before: Rows, after: Rows, size:
     return w[:-1], float(w[-1])
 
 
+def bounded(rows: DataFrame, most: int) -> pa.Table:
+    """rows in the order of their keys; of more than `most`, as repeated rows of an id may make them, those that come first by a hash."""
+    if rows.count() > most:
+        rows = rows.orderBy("_key", F.xxhash64("_a", "_b")).limit(most)
+    return rows.toArrow().sort_by("_key")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, strength: float = STRENGTH) -> Classifier:
     """The classifier of the labelled rows that aren't held out."""
     rows = sample_rows(docs, labels, sample)
@@ -224,9 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, strength: floa
         return Classifier({}, np.zeros(0), 60.0 if toxic else -60.0)
     places = chosen_features(rows, clean, toxic, FEATURES)
     found = written(vectors(rows, places), "vectors")
-    # Repeated rows of an id could make more than the bound; a hash settles which are taken.
-    order = (F.col("_key"), F.xxhash64("_a", "_b"))
-    own, pairs = (found.filter(c).orderBy(*order).limit(n).toArrow() for c, n in (("_kind < 2", sample), ("_kind = 2", PAIRS)))
+    own, pairs = (bounded(found.filter(c), n) for c, n in (("_kind < 2", sample), ("_kind = 2", PAIRS)))
     weights, intercept = fit_weights(Rows(own["_a"]), own["_kind"].to_numpy().astype(float), Rows(pairs["_a"]), Rows(pairs["_b"]), len(places), strength)
     return Classifier(places, weights, intercept)
 
