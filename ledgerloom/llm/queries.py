@@ -80,6 +80,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": warc.ORACLE,
     "op7_urls": urls.ORACLE,
     "op8_chat": chat.ORACLE,
     "op9_licenses": licenses.oracle(),

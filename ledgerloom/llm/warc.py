@@ -222,3 +222,14 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to as read from freshly written archives."""
     records = read_archives(write_archives(pages, min_bytes))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE = """
+with pages_ as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex, max(page_id) over (partition by coalesce(html, '')) as last from pages)
+select page_id, strlen(html)::bigint as payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(hex, 5 * (k // 4)::int + 1, 5))::bigint >> (15 - 5 * (k % 4))::int) & 31)::int + 1, 1)), '') as payload_digest,
+    case when page_id = last or last is null then 'response' else 'revisit' end as record_type,
+    case when page_id <> last then last end as refers_to
+from pages_
+"""
