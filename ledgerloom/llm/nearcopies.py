@@ -1,11 +1,13 @@
 """Operator 2 for near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-At 0.8 a 64-bit SimHash differs in 10 bits on average, which no grid over 64 bits can tell from chance.
-So a text has a longer fingerprint: its shingles are dealt into classes by their hashes, some 5 to 10 to a class, and
+Candidates are first those of operator 2's own grid: the 64-bit SimHash of the whole set, its segment counts,
+and a cell for any four of the eight parts, so that all pairs of 4 differing bits at most meet in one.
+At 0.8 that SimHash differs in 10 bits on average, which no grid over 64 bits can tell from chance.
+So a text has a longer fingerprint besides: its shingles are dealt into classes by their hashes, some 5 to 10 to a class, and
 each of PARTS classes has a SimHash of its own, whose popcount vector (segments of two bits) is a
-grid cell. Two sets are candidates if they share a cell. A class without any of the shingles that the
+grid cell. Two sets are candidates if they share a cell of either kind. A class without any of the shingles that the
 sets differ in has equal fingerprints: for a pair at 0.8 a class of k shingles is one with a probability of
-exp(-k * 2 / 9), so all 64 classes fail with one of 1e-11 at 5 shingles and of 3e-4 at 9.6, and a closer
+exp(-k * 2 / 9), so all 64 classes fail (and the pair needs the first grid) with one of 1e-11 at 5 shingles and of 3e-4 at 9.6, and a closer
 pair with a much smaller one. Every link is decided by the exact overlap of the two sets, in the join's
 condition.
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import written
 from ledgerloom.llm.components import connected_components
-from ledgerloom.llm.simhash import LOW_BITS
+from ledgerloom.llm.simhash import BLOCK, LOW_BITS, cells
 
 WIDTH = 5
 #: Classes whose fingerprints a text has, if it has so many shingles; others are dealt several times.
@@ -92,6 +94,15 @@ def cells_of(shingles: np.ndarray) -> list[int]:
     return np.concatenate(found).view(np.int64).tolist() if found else []
 
 
+def fingerprint_of(shingles: np.ndarray) -> int:
+    """The signed long of the set's 64-bit SimHash; a bit is 1 if set in over half the shingles."""
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(shingles), BLOCK):
+        part = shingles[k : k + BLOCK].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles)).view(">i8")[0])
+
+
 def parity_of(shingles: np.ndarray) -> list[int]:
     """WORDS signed longs in which each shingle flips one bit."""
     odd = np.bincount((shingles % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
@@ -99,19 +110,26 @@ def parity_of(shingles: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """row, digest (of the set of shingles), n (its size) and cells of docs (row, text)."""
+    """row, digest (of the set of shingles), n (its size), fp (its SimHash) and cells (of its classes) of docs (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, cells = [], [], []
+            digests, sizes, prints, parts = [], [], [], []
             for text in batch.column(1):
                 own = shingles_of(text.as_py())
                 digests.append(xxhash.xxh3_128_digest(own.tobytes(), SEED))
                 sizes.append(len(own))
-                cells.append(cells_of(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], ["row", "digest", "n", "cells"])
+                prints.append(fingerprint_of(own))
+                parts.append(cells_of(own))
+            arrays = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["row", "digest", "n", "fp", "cells"])
+
+    return docs.mapInArrow(run, "row long, digest binary, n long, fp long, cells array<long>")
+
 
-    return docs.mapInArrow(run, "row long, digest binary, n long, cells array<long>")
+def grid_cells() -> Column:
+    """All cells of a node (fp, cells): operator 2's grid over the whole fingerprint, and the classes'."""
+    return F.concat(cells(F.col("fp"), 1), "cells")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -141,8 +159,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_labels(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, component of the nodes (node, n, cells) that a path of similar pairs connects to another; docs has their texts (row, text)."""
-    dealt = nodes.select(F.explode("cells").alias("key"), "node", "n")
+    """id, component of the nodes (node, n, fp, cells) that a path of similar pairs connects to another; docs has their texts (row, text)."""
+    dealt = nodes.select(F.explode(grid_cells()).alias("key"), "node", "n")
     shared = dealt.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("last")).filter("head.node < last").select("key", "head")
     members = written(dealt.join(shared, "key"), "members")
     alike = members.filter(F.col("head.node") < F.col("node")).filter(sizes_fit(F.col("n"), F.col("head.n")))
@@ -179,8 +197,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     own = keyed(docs)
     texts = own.select("row", "text")
     found = written(sketches(texts), "sketches")
-    nodes = found.groupBy("digest").agg(F.min("row").alias("node"), F.any_value("n").alias("n"), F.any_value("cells").alias("cells"))
-    nodes = written(nodes.select("node", "n", "cells"), "nodes")
+    nodes = found.groupBy("digest").agg(F.min("row").alias("node"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("cells").alias("cells"))
+    nodes = written(nodes.select("node", "n", "fp", "cells"), "nodes")
     copies = near_labels(nodes, texts).filter("component < id").select("id")
     kept = nodes.select("node").join(copies, F.col("node") == F.col("id"), "left_anti")
     return own.join(kept, F.col("row") == F.col("node"), "left_semi").select("_doc.*")

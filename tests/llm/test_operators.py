@@ -8,6 +8,7 @@ import random
 import re
 import textwrap
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,33 @@ def test_near_copies_against_all_pairs(spark):
     assert nearcopies.representatives(empty(spark)).count() == 0
 
 
+def test_near_copies_within_four_bits_meet(spark):
+    """Sets of Jaccard 0.8 and more that differ in every class meet in the grid of operator 2 over the whole fingerprint."""
+    rng = np.random.default_rng(24)
+
+    def apart(a, b):
+        return (nearcopies.fingerprint_of(a) ^ nearcopies.fingerprint_of(b)).bit_count()
+
+    found = []
+    while len(found) < 3:
+        whole = np.unique(rng.integers(0, 2**64, 614, dtype=np.uint64))
+        own = whole * nearcopies.MULTIPLIERS[0]
+        gone = {}
+        for i in rng.permutation(len(whole)):  # one shingle of each class, by both levels of classes that sets of this size have
+            fine, coarse = int(own[i] >> np.uint64(57)), int(own[i] >> np.uint64(58))
+            gone.setdefault(fine if fine < 64 else 1000 + coarse, i)
+        less = np.delete(whole, list(gone.values()))
+        if not set(nearcopies.cells_of(whole)) & set(nearcopies.cells_of(less)) and apart(whole, less) <= 4:
+            assert 5 * len(less) >= 4 * len(whole)
+            found.append((whole, less))
+    sets = [s for pair in found for s in pair]
+    nodes = spark.createDataFrame([(i, len(s), nearcopies.fingerprint_of(s), nearcopies.cells_of(s)) for i, s in enumerate(sets)], "node long, n long, fp long, cells array<long>")
+    got = {r["node"]: set(r["all"]) for r in nodes.select("node", nearcopies.grid_cells().alias("all")).collect()}
+    assert all(got[2 * k] & got[2 * k + 1] for k in range(3)) and not got[0] & got[2]
+    made = nearcopies.sketches(spark.createDataFrame([(0, None), (1, "One two three four five six seven"), (2, "a b")], "row long, text string")).collect()
+    assert [r["fp"] & (2**64 - 1) for r in made] == [0, *(brute.simhash(t, 5) for t in ("One two three four five six seven", "a b"))]
+
+
 def test_near_copies_of_a_large_group(spark):
     """Texts of one base that are similar to some of the others only."""
     rng = random.Random(16)
