@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import few_rows, written
 
 WIDTH = 100
 GRAM = 32
@@ -37,6 +37,8 @@ SEGMENT = 1 << 22
 SORTED_TOGETHER = 16_384
 #: Rows that the tasks of the suffix sort hold at once.
 SORT_ROWS = 8192
+#: Texts and phrases go to the tasks' Python in batches of this size.
+BATCH_BYTES = "8m"
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x94D049BB133111EB], dtype=np.uint64)
 POSITION = np.uint64(0xFFFFFF)
@@ -86,7 +88,7 @@ def phrase_rows(docs: DataFrame, width: int) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in few_rows(batches):
             parts: list[tuple] = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
@@ -103,16 +105,29 @@ def phrase_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(parse, "h long, c long, row long, first int, n int, s boolean")
 
 
+def numbered(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones; keys is sorted in place."""
+    order = np.argsort(keys)
+    keys[:] = keys[order]
+    new = np.zeros(len(keys), dtype=np.int32)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:], casting="unsafe")
+    ranks = np.empty(len(keys), dtype=np.int32)
+    ranks[order] = np.cumsum(new, out=new)
+    return ranks
+
+
 def suffix_classes(data: bytes, width: int) -> np.ndarray:
     """For each position the rank of the suffix there by its first `width` bytes, by prefix doubling."""
     n = len(data)
     padded = data + bytes(width + 8)
     words = np.ndarray((n + width,), dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)
-    rank, reach = np.unique(words, return_inverse=True)[1].astype(np.int64), 8
+    rank, reach = numbered(words), 8
+    del words
     while reach < width:
         step = min(reach, width - reach)
-        ahead = np.concatenate((rank[step:], np.zeros(step, dtype=np.int64)))
-        rank = np.unique(rank * (len(rank) + 1) + ahead, return_inverse=True)[1].astype(np.int64)
+        keys = rank.astype(np.int64) * (len(rank) + 1)
+        keys[:-step] += rank[step:]
+        rank = numbered(keys)
         reach += step
     return rank[:n]
 
@@ -122,7 +137,7 @@ def repeats_in(rows: np.ndarray, firsts: np.ndarray, counts: np.ndarray, texts:
     lengths = np.array([len(t) for t in texts])
     begin = np.cumsum(lengths) - lengths
     ranks = suffix_classes(b"".join(texts), width)
-    phrase = np.repeat(np.arange(len(texts)), counts)
+    phrase = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
     within = np.arange(len(phrase)) - np.repeat(np.cumsum(counts) - counts, counts)
     kind, row, place = ranks[begin[phrase] + within], rows[phrase], firsts[phrase] + within
     order = np.lexsort((place, row, kind))
@@ -142,6 +157,14 @@ def dictionary_ranges(entries: DataFrame, width: int) -> DataFrame:
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
+        def ready(h: np.ndarray) -> int:
+            """How many rows to sort now: the whole groups among SORT_ROWS, or the first if it has more; groups have SORTED_TOGETHER rows at most."""
+            if len(h) <= SORT_ROWS:
+                return 0
+            starts = np.flatnonzero(h[1:] != h[:-1]) + 1
+            within = starts[starts <= SORT_ROWS]
+            return int(within[-1]) if len(within) else int(starts[0]) if len(starts) else 0
+
         def done(t: pa.Table) -> pa.RecordBatch:
             found = repeats_in(t["row"].to_numpy(), t["first"].to_numpy(), t["n"].to_numpy(), t["bytes"].to_pylist(), width) if len(t) else []
             columns = list(zip(*found)) or [[]] * 3
@@ -149,13 +172,7 @@ def dictionary_ranges(entries: DataFrame, width: int) -> DataFrame:
 
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            while len(held) > SORT_ROWS:
-                # Up to where a group begins; groups have SORTED_TOGETHER rows at most.
-                h = held["h"].to_numpy()
-                starts = np.flatnonzero(np.diff(h[: SORT_ROWS + 1])) + 1
-                if not len(starts):
-                    break
-                cut = int(starts[-1])
+            while cut := ready(held["h"].to_numpy()):
                 yield done(held.slice(0, cut))
                 held = held.slice(cut)
         if held is not None:
@@ -169,7 +186,7 @@ def window_ranges(entries: DataFrame, width: int) -> DataFrame:
     """row, start, end from phrases of any number for one owner: windows meet by the hashes of the owner and of themselves."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             keys: list[int] = []
             n = batch.column(3).to_numpy()
             for text, count in zip(batch.column(4).to_pylist(), n.tolist()):
@@ -181,7 +198,7 @@ def window_ranges(entries: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, w, row, place)], ["h", "w", "row", "place"])
 
     windows = entries.select("h", "row", "first", "n", "bytes").mapInArrow(cut, "h long, w long, row long, place long")
-    windows = written(windows, "windows")
+    windows = written(windows, "windows", BATCH_BYTES)
     least = windows.groupBy("h", "w").agg(F.min(F.struct("row", "place")).alias("least"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     again = windows.join(least, ["h", "w"]).filter(F.struct("row", "place") > F.col("least"))
     return again.select("row", F.col("place").alias("start"), (F.col("place") + width).alias("end"))
@@ -197,8 +214,8 @@ def ordered_rows(docs: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """row, start, end: byte ranges of docs (columns row, text) to remove; they may overlap."""
-    owners = written(phrase_rows(docs, width).groupBy("h").agg(F.count("*").alias("n"), F.max("s").alias("s")).filter("n > 1 or s").select("h"), "owners")
-    shared = written(phrase_rows(docs, width).join(owners, "h", "left_semi"), "phrases")
+    owners = written(phrase_rows(docs, width).groupBy("h").agg(F.count("*").alias("n"), F.max("s").alias("s")).filter("n > 1 or s").select("h"), "owners", BATCH_BYTES)
+    shared = written(phrase_rows(docs, width).join(owners, "h", "left_semi"), "phrases", BATCH_BYTES)
     firsts = written(shared.groupBy("h", "c").agg(F.min(F.struct("row", "first", "n")).alias("at"), F.max("s").alias("s")), "firsts")
     parse = shared.join(firsts, ["h", "c"]).filter(F.struct("row", "first") > F.struct("at.row", "at.first"))
     parse = parse.select("row", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("n") + F.lit(width - 1)).cast("long").alias("end"))
@@ -207,7 +224,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     wanted = firsts.join(mixed, "h").groupBy("at.row").agg(F.collect_list(F.struct("h", "k", "at.first", "at.n")).alias("parts"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
             for row, text, parts in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode("utf-8", "surrogatepass")
@@ -217,7 +234,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "k", "row", "first", "n", "bytes"])
 
     entries = docs.select("row", "text").join(wanted, "row").mapInArrow(fetch, "h long, k long, row long, first int, n int, bytes binary")
-    entries = written(entries, "dictionary")
+    entries = written(entries, "dictionary", BATCH_BYTES)
     few = dictionary_ranges(entries.filter(F.col("k") <= SORTED_TOGETHER), width)
     many = window_ranges(entries.filter(F.col("k") > SORTED_TOGETHER), width)
     return parse.union(few).union(many)
@@ -239,14 +256,14 @@ ADDED = T.StructType([T.StructField(c, T.LongType()) for c in ("n_bytes", "n_rem
 def cut_texts(docs: DataFrame, width: int) -> DataFrame:
     """docs (doc_id, text and any columns but row and _ranges) with each text as it is left, and ADDED."""
     numbered = ordered_rows(docs)
-    ranges = written(repeated_ranges(numbered.select("row", "text"), width), "ranges")
+    ranges = written(repeated_ranges(numbered.select("row", "text"), width), "ranges", BATCH_BYTES)
     per_row = ranges.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("_ranges"))
     joined = numbered.join(per_row, "row", "left").select(*docs.columns, "_ranges")
     own = docs.columns
     names = [*own, *ADDED.names]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             rows, left = [], []
             for text, ranges in zip(batch["text"], batch["_ranges"].to_pylist()):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")

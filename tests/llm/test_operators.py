@@ -9,10 +9,12 @@ import re
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import chat, decontam, html, licenses, nearcopies, packing, passages, quality, simhash, urls, warc
+from ledgerloom.llm.common import AT_ONCE, few_rows
 from ledgerloom.llm.components import connected_components
 from tests.llm import brute
 
@@ -266,6 +268,38 @@ def test_passages(spark, monkeypatch, hot):
     assert got == sorted((d, *v) for d, v in brute.repeated_bytes(data).items())
 
 
+def test_passages_of_a_large_group_are_sorted_without_what_follows(spark, monkeypatch):
+    sizes, sort = [], passages.repeats_in
+    monkeypatch.setattr(passages, "SORT_ROWS", 50)
+    monkeypatch.setattr(passages, "repeats_in", lambda rows, *more: sizes.append(len(rows)) or sort(rows, *more))
+    owners = [1] * 70 + [k // 10 for k in range(20, 600)]  # the first group has more rows than are sorted at once
+    entries = pa.table({"h": owners, "row": range(len(owners)), "first": pa.array([0] * len(owners), pa.int32()), "n": pa.array([1] * len(owners), pa.int32()), "bytes": [f"{h:0100d}".encode() for h in owners]})
+
+    class Frame:  # the rows of one task, dealt and sorted
+        def select(self, *_): return self
+        def repartition(self, *_): return self
+        def sortWithinPartitions(self, *_): return self
+        def mapInArrow(self, function, schema): return list(function(iter(entries.to_batches(max_chunksize=100))))
+
+    found = passages.dictionary_ranges(Frame(), 100)
+    assert sum(sizes) == len(owners) and max(sizes) == 70
+    assert sum(len(b) for b in found) == 69 + 9 * 58
+
+
+def test_tasks_take_few_rows_at_once():
+    batch = pa.record_batch({"x": range(1000)})
+    parts = list(few_rows(iter([batch, batch.slice(0, 1), batch.slice(0, 0)])))
+    assert max(map(len, parts)) == AT_ONCE and pa.Table.from_batches(parts)["x"].to_pylist() == [*range(1000), 0]
+
+
+def test_suffix_classes():
+    data = bytes(random.Random(4).choice(b"ab") for _ in range(3000)) + bytes(300)
+    ranks = passages.suffix_classes(data, 100)
+    padded = data + bytes(108)
+    known = sorted({padded[i : i + 100] for i in range(len(data))})
+    assert np.unique(ranks, return_inverse=True)[1].tolist() == [known.index(padded[i : i + 100]) for i in range(len(data))]
+
+
 def test_passages_with_shared_ids(spark):
     long = prose(random.Random(9), 60)
     got = rows(passages.without_repeats(documents(spark, [(1, long), (1, long), (2, long)])), "doc_id", "n_removed")
