@@ -162,7 +162,7 @@ def near_labels(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """id, component of the nodes (node, n, fp, cells) that a path of similar pairs connects to another; docs has their texts (row, text)."""
     dealt = nodes.select(F.explode(grid_cells()).alias("key"), "node", "n")
     shared = dealt.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("last")).filter("head.node < last").select("key", "head")
-    members = written(dealt.join(shared, "key"), "members")
+    members = written(dealt.join(shared.hint("merge"), "key"), "members")
     alike = members.filter(F.col("head.node") < F.col("node")).filter(sizes_fit(F.col("n"), F.col("head.n")))
     pairs = written(alike.select(F.col("head.node").alias("src"), F.col("node").alias("dst")).distinct(), "pairs")
     sets = written(shingle_sets(docs.join(members.select("node").distinct(), F.col("row") == F.col("node"), "left_semi")), "sets")

@@ -90,11 +90,20 @@ def cells(fp: Column, segment: int) -> Column:
     return F.array(*[v.bitwiseAND(F.lit(mask)).bitwiseXOR(F.lit(own)) for mask, own in CHOICES])
 
 
-def near_labels(nodes: DataFrame, bits: int, segment: int = 1) -> DataFrame:
-    """id, component of the nodes (columns fp, node) that a path of links of `bits` (4 or fewer) bits connects to another."""
+def meeting(nodes: DataFrame, segment: int = 1) -> DataFrame:
+    """cell, fp, node, head of the cells with several nodes, the smallest of which is head.
+
+    Spark takes the exploded cells for as small as the nodes, and tables of few columns for as small as their files, so without
+    the hint it would gather either side on the driver, to broadcast it.
+    """
     dealt = nodes.select(F.explode(cells(F.col("fp"), segment)).alias("cell"), "fp", "node")
     shared = dealt.groupBy("cell").agg(F.min(F.struct("node", "fp")).alias("head"), F.max("node").alias("last")).filter("head.node < last").select("cell", "head")
-    members = written(dealt.join(shared, "cell"), "members")
+    return dealt.join(shared.hint("merge"), "cell")
+
+
+def near_labels(nodes: DataFrame, bits: int, segment: int = 1) -> DataFrame:
+    """id, component of the nodes (columns fp, node) that a path of links of `bits` (4 or fewer) bits connects to another."""
+    members = written(meeting(nodes, segment), "members")
 
     def near(a: Column, b: Column) -> Column:
         return F.bit_count(a.bitwiseXOR(b)) <= bits
@@ -103,11 +112,11 @@ def near_labels(nodes: DataFrame, bits: int, segment: int = 1) -> DataFrame:
     first = written(heads.select(F.col("head.node").alias("src"), F.col("node").alias("dst")).distinct(), "near")
     labels = written(connected_components(first), "labels")
 
-    labelled = members.select("cell", "fp", "node").join(labels, F.col("node") == F.col("id"), "left")
+    labelled = members.select("cell", "fp", "node").join(labels.hint("merge"), F.col("node") == F.col("id"), "left")
     labelled = labelled.select("cell", "fp", "node", F.coalesce("component", "node").alias("own"))
     mixed = labelled.groupBy("cell").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low < high").select("cell")
-    left = written(labelled.join(mixed, "cell", "left_semi"), "mixed")
-    a, b = left.alias("a"), left.alias("b")
+    left = written(labelled.join(mixed.hint("merge"), "cell", "left_semi"), "mixed")
+    a, b = left.alias("a"), left.alias("b").hint("merge")
     apart = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.own") < F.col("b.own")) & near(F.col("a.fp"), F.col("b.fp")))
     cross = written(apart.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct(), "cross")
     return labels if cross.isEmpty() else connected_components(first.unionByName(cross))
@@ -121,10 +130,10 @@ def near_components(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     nodes = written(nodes.withColumn("node", F.coalesce("node", F.xxhash64("fp").bitwiseOR(F.lit(NAMELESS)))), "nodes")
     labels = near_labels(nodes.select("fp", "node"), bits)
-    joined = nodes.join(labels, F.col("node") == F.col("id"), "left")
+    joined = nodes.join(labels.hint("merge"), F.col("node") == F.col("id"), "left")
     name = F.coalesce("component", "node")
     named = joined.select("fp", F.when(name < NAMELESS, name).alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints.join(named.hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:

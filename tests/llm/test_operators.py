@@ -115,6 +115,11 @@ def test_simhash(spark):
     assert simhash.near_components(empty(spark)).count() == 0
 
 
+def test_simhash_broadcasts_no_cells(spark):
+    nodes = spark.range(1000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("node"))
+    assert "Broadcast" not in simhash.meeting(nodes)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("segment", [1, 2])
 def test_near_labels_against_all_pairs(spark, segment):
     rng = random.Random(2)
