@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import breakdown, classify, reconcile, summary, unify
 from ledgerloom.operators.order import positions
-from ledgerloom.plans import taxonomy
+from ledgerloom.plans import queries, taxonomy
 
 MOVEMENT = "bank string, account string, date date, description string, amount decimal(18,2), balance decimal(18,2), sign_source string, doc_seq int, seq int, mov_id long, document string, reference string, file string"
 
@@ -229,3 +229,13 @@ def test_positions(spark):
     expected = sorted(rows, key=lambda r: (r[0], r[1] is None, -(r[1] or 0), r[2]))
     assert got == {r[2]: k for k, r in enumerate(expected, 1)}
     assert positions(df.filter("false"), F.col("id")).count() == 0
+
+
+def test_statement_files_hold_any_text(spark, tmp_path):
+    texts = ["a\nb", "", "\f", "x\fy\n", "\x1b", "\x1bf\x1be\f", "\x1bn", None, "ñ 😀"]
+    docs = [(source, t) for source in ("src0", "a b/c=%41+é", "", None) for t in texts] + [("void", None)]
+    spark.createDataFrame(docs, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["source"]: tuple(r)[1:] for r in queries.statement_files(spark, str(tmp_path)).collect()}
+    known = [t for t in texts if t is not None]
+    sums = (len(texts), sum(map(len, known)), sum(t.count("\n") for t in known), True)
+    assert got == {**{s: sums for s in ("src0", "a b/c=%41+é", "", None)}, "void": (1, None, None, True)}
