@@ -165,6 +165,64 @@ def test_matching_against_a_loop(spark, chunk_rows):
     assert got == loop_of_matches(rows, entries)
 
 
+def sides_with_gaps(spark):
+    rng, start = random.Random(21), date(2025, 1, 1)
+    names = ["Banco Uno", "Banco Dos", "Caja", "", None]
+    rows = [(rng.choice(names), "1", start + timedelta(rng.randint(0, 60)), f"pago {rng.randint(95, 130)} y {rng.randint(0, 12)}", str(rng.randint(1, 25)), None, 0) for _ in range(500)]
+    refs = [None, "000", "CE-12", *[f"CE-{k}" for k in range(100, 130)], *[f"0{k}" for k in range(95, 100)]]
+    entries = [(k, start + timedelta(rng.randint(0, 60)), "e", Decimal(rng.randint(1, 30)), rng.choice(refs), rng.choice([*names, " ", "BANCO", "banco uno ahorros"]), None) for k in range(400)]
+    return movements(spark, rows), spark.createDataFrame([*entries, (900, None, "e", Decimal(1), None, None, None), (901, start, "e", None, None, None, None)], LEDGER)
+
+
+def test_nearest_and_missing_against_all_pairs(spark):
+    m, ledger = sides_with_gaps(spark)
+    pairs = reconcile.candidate_pairs(m, ledger).cache()
+    assert rows_of(reconcile.nearest_of_all(m, ledger)) == rows_of(reconcile.nearest_entry(pairs))
+    left, right = reconcile.without_candidate(m, ledger)
+    assert rows_of(left.select("mov_id")) == rows_of(m.join(pairs, "mov_id", "left_anti").select("mov_id")) != []
+    assert rows_of(right.select("row")) == rows_of(ledger.join(pairs, "row", "left_anti").select("row")) != []
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_a_hot_day_makes_no_pairs(spark):
+    """1,500 movements and entries of one amount and day are 2.25 million pairs; no operator makes them."""
+    day = date(2025, 1, 1)
+    m = movements(spark, [("A", "1", day, f"x {k}", "5", None, 0) for k in range(1500)])
+    ledger = spark.createDataFrame([(k, day, "e", Decimal(5), f"CE-{k}", None, None) for k in range(1500)], LEDGER)
+    got = {r["mov_id"]: r["row"] for r in reconcile.nearest_of_all(m, ledger).collect()}
+    assert got[1234] in (123, 234, 1234) and len(got) == 1500
+    for made in (reconcile.nearest_of_all(m, ledger), *reconcile.without_candidate(m, ledger)):
+        made.collect()
+        assert most_rows(made) < 20_000
+
+
+def most_rows(df):
+    """The most rows that a step of the executed plan made."""
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        plan = todo.pop()
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        for i in range(plan.children().size()):
+            todo.append(plan.children().apply(i))
+        rows = plan.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+    return most
+
+
+def test_a_chunk_spans_days(spark):
+    """A dense session whose chunks would be under a day each: they have CHUNK_REACHES times the tolerance."""
+    start = date(2025, 1, 1)
+    m = movements(spark, [("A", "1", start + timedelta(k // 10), "x", "5", None, 0) for k in range(3000)])
+    ledger = spark.createDataFrame([(k, start + timedelta(k // 10), "e", Decimal(5), None, None, None) for k in range(3000)], LEDGER)
+    assert reconcile.timeline(reconcile.both_sides(m, ledger), 5, 5).agg(F.max("chunk")).first()[0] == 5
+
+
 def test_a_daily_fee_is_spread(spark):
     """One amount on each day of 20 years, booked a day late: every border matters to the next, and chunks stay even."""
     start = date(2005, 1, 1)
